@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runmend.functions.labels import rule_label, status_for
 from runmend.functions.prompts import CLASSIFICATION_PROMPT, classification_prompt
@@ -37,9 +38,10 @@ def decide(rows: DataFrame) -> DataFrame:
 
 
 def call_model(
-    prompts: DataFrame, prompt: str, model: Model, settings: Settings, keep_going: bool = False,
+    prompts: DataFrame, prompt: str, model: Model, settings: Settings,
+    answer: str = "raw_response", keep_going: bool = False,
 ) -> DataFrame:
-    """Adds raw_response and call_error. With ``keep_going`` a failing call is recorded
+    """Adds the raw answers, under the name given, and call_error. With ``keep_going`` a failing call is recorded
     for the prompt it fails on, otherwise it fails the task."""
     size = settings.model_batch
 
@@ -57,8 +59,8 @@ def call_model(
                 return [None], [str(error) or type(error).__name__]
         answers, errors = [], []
         for text in texts:
-            answer, failure = ask_each([text])
-            answers += answer
+            one, failure = ask_each([text])
+            answers += one
             errors += failure
         return answers, errors
 
@@ -69,9 +71,10 @@ def call_model(
             for start in range(0, len(batch), size):
                 part = batch.iloc[start:start + size]
                 answers, errors = call(part[prompt].tolist())
-                yield part.assign(raw_response=answers, call_error=errors)
+                yield part.assign(**{answer: answers, "call_error": errors})
 
-    schema = prompts.schema.add("raw_response", "string").add("call_error", "string")
+    schema = T.StructType([
+        *prompts.schema, T.StructField(answer, T.StringType()), T.StructField("call_error", T.StringType())])
     return prompts.mapInPandas(respond, schema)
 
 

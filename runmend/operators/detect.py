@@ -12,15 +12,19 @@ from runmend.operators.runs import failed_runs, newest_per_job, scan_runs, withi
 from runmend.settings import Settings
 
 
+def tracked_runs(incidents: DataFrame) -> DataFrame:
+    """The run ids of every incident's history. A row without a history gives none."""
+    return incidents.select(F.explode("all_run_ids").alias("run_id"))
+
+
 def known_run_ids(incidents: DataFrame) -> DataFrame:
-    """Every run id of every incident's history, once."""
-    return incidents.select(F.explode("all_run_ids").alias("run_id")).distinct()
+    """Every tracked run id, once."""
+    return tracked_runs(incidents).distinct()
 
 
-def untracked(rows: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Rows whose run id is in no incident's history. An anti join needs no distinct."""
-    known = incidents.select(F.explode("all_run_ids").alias("run_id"))
-    return rows.join(known, "run_id", "left_anti")
+def untracked(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows whose run id is not among ``known.run_id``, which may repeat."""
+    return rows.join(known.select("run_id"), "run_id", "left_anti")
 
 
 def error_text(error: Column, settings: Settings) -> Column:
@@ -38,7 +42,7 @@ def with_error_text(
 
 
 def new_failures(
-    runs: DataFrame, incidents: DataFrame, as_of: datetime, settings: Settings,
+    runs: DataFrame, known: DataFrame, as_of: datetime, settings: Settings,
     monitored: DataFrame | None = None,
 ) -> DataFrame:
     """Untracked failed runs, without their error texts.
@@ -58,15 +62,16 @@ def new_failures(
     if monitored is not None and not small:
         # Same result after the cap, where a hot job is down to the capped rows.
         newest = joins.keep_keys(newest, monitored, "job_id", small=False)
-    return untracked(failed_runs(newest), incidents).drop("result_state")
+    return untracked(failed_runs(newest), known).drop("result_state")
 
 
 def detect_new_failures(
-    runs: DataFrame, run_outputs: DataFrame, incidents: DataFrame, as_of: datetime,
+    runs: DataFrame, run_outputs: DataFrame, known: DataFrame, as_of: datetime,
     settings: Settings = Settings(), monitored: DataFrame | None = None,
 ) -> DataFrame:
-    """job_id, run_id, error_message and start_time of each failure to be tracked."""
-    found = new_failures(runs, incidents, as_of, settings, monitored)
+    """job_id, run_id, error_message and start_time of each failure to be tracked.
+    ``known`` holds the run ids that are tracked already."""
+    found = new_failures(runs, known, as_of, settings, monitored)
     small = joins.is_small(found, settings)
     return with_error_text(found, run_outputs, settings, small).select(
         "job_id", "run_id", "error_message", "start_time")

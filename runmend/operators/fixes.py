@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runmend import fixed
 from runmend.functions.prompts import fix_prompt
 from runmend.functions.strict_json import parse_fix
 from runmend.operators.classify import Model, call_model
 from runmend.session import shared_dir
 from runmend.settings import Settings
 
+# Adds the struct ``fix``: a suggestion for rows with status permanent_no_action, null
+# for the others.
+Suggester = Callable[[DataFrame], DataFrame]
+
 # Pattern, root cause, steps, prevention; the first pattern found in the text applies.
 FIX_RULES = [
     ("not found|does not exist|no such (file|table)",
@@ -57,19 +64,32 @@ def rule_fix(text: Column) -> Column:
     return chosen.otherwise(fix(*OTHER_FIX))
 
 
-def suggest_by_rules(rows: DataFrame) -> DataFrame:
-    """Adds the struct column ``fix``."""
-    return rows.withColumn("fix", rule_fix(F.col("error_message")))
+def _is_permanent() -> Column:
+    return F.col("status") == fixed.PERMANENT_NO_ACTION
+
+
+def suggest_by_rules() -> Suggester:
+    """Fixes from the rule table, as one expression."""
+    return lambda rows: rows.withColumn(
+        "fix", F.when(_is_permanent(), rule_fix(F.col("error_message"))))
+
+
+def suggest_by_model(model: Model, settings: Settings = Settings()) -> Suggester:
+    """Fixes from one model call per permanent row; the prompt names the job, so prompts
+    differ between jobs. A call that fails gives the fallback for that row. Rows and
+    responses are written to the shared folder, so nothing is asked twice."""
 
+    def suggest(rows: DataFrame) -> DataFrame:
+        shared_dir(rows.sparkSession)
+        rows = rows.checkpoint()
+        asked = rows.where(_is_permanent()).withColumn("prompt", fix_prompt(
+            F.coalesce("error_message", F.lit("")), F.col("job_id"), F.col("reasoning")))
+        answered = call_model(
+            asked.repartition(settings.model_tasks), "prompt", model, settings, answer="raw_fix", keep_going=True,
+        ).checkpoint()
+        fix = parse_fix(F.col("raw_fix"), F.col("reasoning"), F.col("call_error"))
+        suggested = answered.withColumn("fix", fix).select(*rows.columns, "fix")
+        others = rows.where(~F.coalesce(_is_permanent(), F.lit(False)))
+        return suggested.unionByName(others, allowMissingColumns=True)
 
-def suggest_by_model(rows: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``fix`` from one model call per row; the prompt names the job, so prompts
-    differ between jobs. A call that fails gives the fallback for that row. Responses
-    are written to the shared folder before they are used."""
-    shared_dir(rows.sparkSession)
-    asked = rows.withColumn("prompt", fix_prompt(
-        F.coalesce("error_message", F.lit("")), F.col("job_id"), F.col("reasoning")))
-    asked = asked.repartition(settings.model_tasks)
-    answered = call_model(asked, "prompt", model, settings, keep_going=True).checkpoint()
-    fix = parse_fix(F.col("raw_response"), F.col("reasoning"), F.col("call_error"))
-    return answered.withColumn("fix", fix).select(*rows.columns, "fix")
+    return suggest

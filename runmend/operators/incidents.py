@@ -13,6 +13,8 @@ from runmend.functions.clock import instant, instant_like
 from runmend.settings import Settings
 
 FIX_STORED = "fix_stored"
+# Events whose run belongs to the incident's history.
+RUN_EVENTS = [fixed.DETECTED, fixed.RETRIED]
 
 
 def tracking_id(job_id: Column, run_id: Column) -> Column:
@@ -47,18 +49,19 @@ def insert_incidents(failures: DataFrame, as_of: datetime, settings: Settings =
 
 
 def new_incident_events(labelled: DataFrame, as_of: datetime, settings: Settings = Settings()) -> DataFrame:
-    """Events of new failures that have their label: detected, then classified."""
+    """Events of new failures that have their label: detected, then classified. Both
+    come from one pass over the failures."""
     now = instant_like(as_of, labelled, "start_time")
-    status = F.col("status")
-    label_columns = ["classification", "reasoning", "confidence", "parse_status", "raw_response"]
-    nulls = {c: F.lit(None).cast("string").alias(c) for c in label_columns}
+    told = ["classification", "reasoning", "confidence", "parse_status", "raw_response", "fix_suggestion"]
+    labelled = schemas.evolve(labelled, schemas.INCIDENT_EVENTS)
     detected = F.struct(
         F.lit(1).alias("seq"), F.lit(fixed.DETECTED).alias("event"),
-        F.lit(fixed.DETECTED).alias("status"), *nulls.values(),
+        F.lit(fixed.DETECTED).alias("status"),
+        *[F.lit(None).cast("string").alias(c) for c in told],
         F.lit(None).cast("timestamp").alias("next_retry_at"))
     classified = F.struct(
-        F.lit(2).alias("seq"), F.lit(fixed.CLASSIFIED).alias("event"), status.alias("status"),
-        *label_columns, _next_retry(status, now, settings).alias("next_retry_at"))
+        F.lit(2).alias("seq"), F.lit(fixed.CLASSIFIED).alias("event"), "status", *told,
+        _next_retry(F.col("status"), now, settings).alias("next_retry_at"))
     events = labelled.select(
         tracking_id(F.col("job_id"), F.col("run_id")).alias("tracking_id"),
         now.alias("ts"), "job_id", "run_id",
@@ -154,21 +157,36 @@ def backfill_run_ids(incidents: DataFrame) -> DataFrame:
     return incidents.withColumn("all_run_ids", run_history(incidents))
 
 
-def apply_updates(incidents: DataFrame, events: DataFrame) -> DataFrame:
+def apply_updates(incidents: DataFrame, events: DataFrame, small: bool = False) -> DataFrame:
     """State rows with later events folded in: a keyed update, and rows for incidents
-    that the events detect. Each event is to be applied once."""
-    base = schemas.evolve(incidents, schemas.INCIDENTS).alias("b")
-    new = reduce_events(events).alias("n")
+    that the events detect. Events a row contains already are skipped.
+
+    When the events are known to be few, rows they do not touch pass through at the
+    scan and only the others are joined.
+    """
+    base = schemas.evolve(incidents, schemas.INCIDENTS).select(schemas.INCIDENTS.names)
+    if not small:
+        return _fold(base, events)
+    touched = F.broadcast(events.select("tracking_id").distinct())
+    folded = _fold(base.join(touched, "tracking_id", "left_semi"), events)
+    return folded.unionByName(base.join(touched, "tracking_id", "left_anti"))
+
+
+def _fold(base: DataFrame, events: DataFrame) -> DataFrame:
+    versions = base.select(F.col("tracking_id").alias("_id"), F.col("version").alias("_version"))
+    later = events.join(versions, F.col("tracking_id") == F.col("_id"), "left").where(
+        F.col("_version").isNull() | (F.col("seq") > F.col("_version"))).drop("_id", "_version")
+    base, new = base.alias("b"), reduce_events(later).alias("n")
+    none = F.array().cast("array<string>")
 
     def pick(column: str, *sides: str) -> Column:
         return F.coalesce(*[F.col(f"{side}.{column}") for side in sides]).alias(column)
 
     history = F.coalesce("b.all_run_ids", F.when(
         F.col("b.tracking_id").isNotNull(),
-        F.array_distinct(F.array("b.original_run_id", "b.latest_run_id"))))
-    added = F.coalesce("n.all_run_ids", F.array().cast("array<string>"))
-    folded = base.join(new, "tracking_id", "full").select(
-        "tracking_id",
+        F.array_distinct(F.array("b.original_run_id", "b.latest_run_id"))), none)
+    folded = base.join(new, F.col("b.tracking_id") == F.col("n.tracking_id"), "full").select(
+        pick("tracking_id", "b", "n"),
         pick("job_id", "b", "n"),
         pick("original_run_id", "b", "n"),
         pick("latest_run_id", "n", "b"),
@@ -178,7 +196,7 @@ def apply_updates(incidents: DataFrame, events: DataFrame) -> DataFrame:
         pick("status", "n", "b"),
         pick("first_failed_at", "b", "n"),
         F.greatest("b.last_updated_at", "n.last_updated_at").alias("last_updated_at"),
-        F.array_union(F.coalesce(history, F.array().cast("array<string>")), added).alias("all_run_ids"),
+        F.array_union(history, F.coalesce("n.all_run_ids", none)).alias("all_run_ids"),
         F.when(F.col("n.status").isNotNull(), F.col("n.next_retry_at"))
         .otherwise(F.col("b.next_retry_at")).alias("next_retry_at"),
         pick("fix_suggestion", "n", "b"),

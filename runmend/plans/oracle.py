@@ -47,6 +47,13 @@ def status(column: str) -> str:
             f"WHEN 'Permanent' THEN 'permanent_no_action' ELSE 'unknown_flagged' END")
 
 
+def _rule(column: str) -> str:
+    found = " ".join(
+        f"WHEN regexp_matches(lower({column}), {text(pattern)}) THEN {n}"
+        for n, (pattern, *_) in enumerate(fixes.FIX_RULES))
+    return f"CASE {found} ELSE -1 END"
+
+
 ERROR_BY_DIGIT = "CASE k % 10 " + " ".join(
     f"WHEN {digit} THEN {text(error)}" for digit, (error, _) in sample.ERRORS.items()) + " END"
 EXPECTED_BY_DIGIT = "CASE k % 10 " + " ".join(
@@ -163,11 +170,8 @@ CTES = {
     "jobs": """jobs AS (
   SELECT CAST(c_custkey AS VARCHAR) AS job_id, CASE WHEN c_acctbal >= 0 THEN c_name END AS creator,
     c_mktsegment AS tag FROM customer)""",
-    "fixed": "fixed AS (SELECT *, CASE "
-    + " ".join(
-        f"WHEN regexp_matches(lower(error_message), {text(pattern)}) THEN {n}"
-        for n, (pattern, *_) in enumerate(fixes.FIX_RULES))
-    + " ELSE -1 END AS rule FROM incidents WHERE status = 'permanent_no_action')",
+    "fixed": f"""fixed AS (
+  SELECT *, {_rule('error_message')} AS rule FROM incidents WHERE status = 'permanent_no_action')""",
     "calls": f"""calls AS (
   SELECT *, CASE k // 10 WHEN 0 THEN '```json' || chr(10) || plain || chr(10) || '```'
       WHEN 1 THEN plain || ' I hope this helps.' WHEN 2 THEN lower(plain)
@@ -387,4 +391,27 @@ FROM incidents GROUP BY job_id, classification"""),
   CASE WHEN status <> 'unknown_flagged' THEN status
        WHEN CAST(original_run_id AS BIGINT) % 2 = 0 THEN 'retry_scheduled'
        ELSE 'permanent_no_action' END AS status FROM incidents"""),
+    "run_cycle": with_tables("runs top10 activity", f"""
+, first_pass AS (
+  SELECT *, {label('error_message')} AS classification
+  FROM (SELECT *, row_number() OVER (PARTITION BY job_id {NEWEST}) AS rn FROM runs)
+  WHERE rn <= 5 AND start_time >= {AS_OF} - INTERVAL 24 HOUR AND result_state = 'FAILED'),
+judged AS (
+  SELECT f.*, CASE WHEN classification <> 'Transient' THEN 'other'
+    WHEN date_trunc('millisecond', a.last_success_at) > date_trunc('millisecond', f.start_time) THEN 'resolved'
+    WHEN a.in_progress THEN 'wait' ELSE 'free' END AS verdict
+  FROM first_pass f JOIN activity a ON a.job_id = f.job_id)
+SELECT job_id, run_id AS original_run_id, classification,
+  CASE WHEN verdict = 'resolved' THEN 'resolved' ELSE {status('classification')} END AS status,
+  verdict = 'free' AND row_number() OVER (PARTITION BY job_id, verdict
+    ORDER BY start_time, sha256(job_id || ':' || run_id)) = 1 AS requested
+FROM judged"""),
+    "stream_runs": with_tables("runs labelled", f"""SELECT job_id, run_id AS original_run_id, error_message,
+  classification, {status('classification')} AS status FROM labelled"""),
+    "stream_failure_events": with_tables(
+        "runs labelled", f"""SELECT job_id, run_id AS original_run_id,
+  error_message, classification, {status('classification')} AS status,
+  CASE WHEN k % 2 = 0 THEN start_time ELSE {AS_OF} END AS first_failed_at,
+  CASE WHEN classification = 'Permanent' THEN {_fix_part(0)} END AS root_cause
+FROM (SELECT *, {_rule('error_message')} AS rule FROM labelled WHERE raw_error IS NOT NULL)"""),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,14 @@ from runmend.functions.messages import notice_time
 from runmend.functions.prompts import classification_prompt, fix_prompt
 from runmend.operators import classify, detect, fixes, incidents as state, joins, notify
 from runmend.operators import outcomes, reports, retry, runs as run_ops
+from runmend.plans.cycle import Inputs, run_cycle as run_one_cycle
+from runmend.session import scratch_path
 from runmend.settings import Settings
 from runmend.sources import sample_tables as sample
 from runmend.sources.sample_tables import AS_OF
+from runmend.sources.store import TriageStore
+from runmend.sources.tables import stream_table
+from runmend.streaming.reactor import react_to_runs, take_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings()
@@ -107,7 +113,7 @@ def known_run_ids(spark, sf_dir):
 @query
 def untracked_runs(spark, sf_dir):
     runs = sample.runs(spark, sf_dir).select(*run_ops.STATE_COLUMNS)
-    return detect.untracked(runs, sample.incidents(spark, sf_dir)).select(*run_ops.STATE_COLUMNS)
+    return detect.untracked(runs, _tracked(spark, sf_dir)).select(*run_ops.STATE_COLUMNS)
 
 
 @query
@@ -118,10 +124,14 @@ def error_text(spark, sf_dir):
     return found.select("run_id", "task_run_id", "error_message")
 
 
+def _tracked(spark, sf_dir):
+    return detect.tracked_runs(sample.incidents(spark, sf_dir))
+
+
 def _detected(spark, sf_dir):
     return detect.detect_new_failures(
         sample.runs(spark, sf_dir), sample.run_outputs(spark, sf_dir),
-        sample.incidents(spark, sf_dir), AS_OF, SETTINGS)
+        _tracked(spark, sf_dir), AS_OF, SETTINGS)
 
 
 @query
@@ -133,14 +143,14 @@ def detect_new_failures(spark, sf_dir):
 def detect_monitored_failures(spark, sf_dir):
     return detect.detect_new_failures(
         sample.runs(spark, sf_dir), sample.run_outputs(spark, sf_dir),
-        sample.incidents(spark, sf_dir), AS_OF, SETTINGS, sample.monitored_jobs(spark, sf_dir))
+        _tracked(spark, sf_dir), AS_OF, SETTINGS, sample.monitored_jobs(spark, sf_dir))
 
 
 @query
 def detect_uncapped(spark, sf_dir):
     return detect.detect_new_failures(
         sample.runs(spark, sf_dir), sample.run_outputs(spark, sf_dir),
-        sample.incidents(spark, sf_dir), AS_OF, Settings(runs_per_job=None))
+        _tracked(spark, sf_dir), AS_OF, Settings(runs_per_job=None))
 
 
 @query
@@ -391,7 +401,7 @@ def check_outcomes(spark, sf_dir):
 def _permanent(spark, sf_dir):
     rows = state.rows_by_status(sample.incidents(spark, sf_dir), fixed.PERMANENT_NO_ACTION)
     rows = rows.select("tracking_id", "job_id", "status", "error_message", "first_failed_at")
-    return fixes.suggest_by_rules(classify.classify_by_rules(rows))
+    return fixes.suggest_by_rules()(classify.classify_by_rules(rows))
 
 
 @query
@@ -482,3 +492,56 @@ def apply_corrections(spark, sf_dir):
     rows = reports.apply_corrections(
         sample.incidents(spark, sf_dir), sample.corrections(spark, sf_dir))
     return rows.select("tracking_id", "classification", "status")
+
+
+# --- passes and streams ------------------------------------------------------------------
+
+
+@query
+def run_cycle(spark, sf_dir):
+    """Two passes, 16 minutes apart, that start from an empty store."""
+    store = TriageStore(spark, scratch_path(spark, "cycle"))
+    inputs = Inputs(
+        sample.runs(spark, sf_dir), sample.run_outputs(spark, sf_dir), sample.jobs(spark, sf_dir))
+    run_one_cycle(store, inputs, AS_OF, 1)
+    run_one_cycle(store, inputs, AS_OF + timedelta(minutes=16), 2)
+    requested = store.retry_requests().select("tracking_id", F.lit(True).alias("requested"))
+    return store.state().join(requested, "tracking_id", "left").select(
+        "job_id", "original_run_id", "classification", "status",
+        F.coalesce("requested", F.lit(False)).alias("requested"))
+
+
+def _event_stream(spark, sf_dir):
+    schema = sample.read(spark, sf_dir, "events").schema
+    return stream_table(spark, sf_dir, schema, pathGlobFilter="events.parquet")
+
+
+def _finish(writer):
+    stream = writer.trigger(availableNow=True).start()
+    stream.awaitTermination()
+
+
+@query
+def stream_runs(spark, sf_dir):
+    """All runs read as a stream; the incidents it leaves."""
+    store = TriageStore(spark, scratch_path(spark, "reactor"))
+    _finish(react_to_runs(
+        sample.runs_from_events(_event_stream(spark, sf_dir)),
+        lambda: sample.run_outputs(spark, sf_dir), lambda: sample.jobs(spark, sf_dir),
+        store, lambda number: AS_OF, f"{store.root}/checkpoint", only_recent=False))
+    return store.state().select(
+        "job_id", "original_run_id", "error_message", "classification", "status")
+
+
+@query
+def stream_failure_events(spark, sf_dir):
+    """All failure events read as a stream; the notices it leaves and their incidents."""
+    store = TriageStore(spark, scratch_path(spark, "intake"))
+    events = sample.failure_events_from_runs(sample.runs_from_events(_event_stream(spark, sf_dir)))
+    _finish(take_events(
+        events, lambda: sample.jobs(spark, sf_dir), store, lambda number: AS_OF,
+        f"{store.root}/checkpoint"))
+    dated = F.col("first_failed_at").cast("timestamp_ntz").alias("first_failed_at")
+    return store.state().select(
+        "job_id", "original_run_id", "error_message", "classification", "status", dated,
+        F.from_json("fix_suggestion", schemas.FIX)["root_cause"].alias("root_cause"))

@@ -207,7 +207,11 @@ def incident_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event per failed run: without text where the run has none, undated when the
     number is odd."""
-    return runs(spark, sf_dir).where(F.col("result_state") == fixed.FAILED).select(
+    return failure_events_from_runs(runs(spark, sf_dir))
+
+
+def failure_events_from_runs(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("result_state") == fixed.FAILED).select(
         "job_id", "run_id", F.col("raw_error").alias("error_message"),
         F.when(F.col("k") % 2 == 0, F.col("start_time")).alias("triggered_at"))
 
