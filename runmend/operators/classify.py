@@ -18,7 +18,7 @@ from runmend.settings import Settings
 
 # A model: prompts in, one raw response per prompt out.
 Model = Callable[[list[str]], list[str | None]]
-# A classifier: adds the label columns to rows that have an error_message.
+# A classifier: adds the label columns; they are null for a row without error_message.
 Classifier = Callable[[DataFrame], DataFrame]
 
 LABEL_COLUMNS = ["classification", "reasoning", "confidence", "parse_status", "raw_response"]
@@ -27,14 +27,18 @@ LABEL_COLUMNS = ["classification", "reasoning", "confidence", "parse_status", "r
 def classify_by_rules(rows: DataFrame) -> DataFrame:
     """Adds the label columns; no shuffle and no Python."""
     return (
-        rows.withColumn("_label", rule_label(F.col("error_message")))
+        rows.withColumn("_label", F.when(
+            F.col("error_message").isNotNull(), rule_label(F.col("error_message"))))
         .select(*rows.columns, *[f"_label.{c}" for c in LABEL_COLUMNS])
     )
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """Adds the status the label leads to."""
-    return rows.withColumn("status", status_for(F.col("classification")))
+    """Adds the status the label leads to; a status that is set already stays."""
+    status = status_for(F.col("classification"))
+    if "status" in rows.columns:
+        status = F.coalesce("status", status)
+    return rows.withColumn("status", status)
 
 
 def call_model(
@@ -80,7 +84,8 @@ def call_model(
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
     """Each error text once, with how often it occurs."""
-    return rows.groupBy("error_message").agg(F.count("*").alias("n"))
+    texts = rows.where(F.col("error_message").isNotNull())
+    return texts.groupBy("error_message").agg(F.count("*").alias("n"))
 
 
 def attach_labels(rows: DataFrame, labels: DataFrame, settings: Settings, row_id: str = "run_id") -> DataFrame:
@@ -109,13 +114,7 @@ def attach_labels(rows: DataFrame, labels: DataFrame, settings: Settings, row_id
             .drop("n", "_pieces")
         )
         on = ["_key", "_piece", "error_message"]
-    # Null-safe on the text: rows without a text share one label.
-    joined = spread.alias("r").join(
-        pieces.alias("t"),
-        [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in on], "left")
-    kept = [c for c in rows.columns if c != "_key"]
-    added = [c for c in labels.columns if c not in ("error_message", "n")]
-    return joined.select(*[F.col(f"r.{c}") for c in kept], *[F.col(f"t.{c}") for c in added])
+    return spread.join(pieces, on, "left").drop("_key", "_piece")
 
 
 def model_classifier(
@@ -131,7 +130,7 @@ def model_classifier(
     def classify(rows: DataFrame) -> DataFrame:
         shared_dir(rows.sparkSession)
         texts = distinct_texts(rows).repartition(settings.model_tasks, "error_message")
-        asked = texts.withColumn("prompt", classification_prompt(F.coalesce("error_message", F.lit("")), template))
+        asked = texts.withColumn("prompt", classification_prompt(F.col("error_message"), template))
         answered = call_model(asked, "prompt", model, settings).checkpoint()
         labels = (
             answered.withColumn("_label", parse_response(F.col("raw_response")))

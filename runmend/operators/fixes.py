@@ -52,15 +52,14 @@ def rule_fix(text: Column) -> Column:
 
     def fix(cause: str, steps: list[str], prevention: str) -> Column:
         return F.struct(
-            F.lit(cause).alias("root_cause"),
-            F.array(*[F.lit(s) for s in steps]).alias("fix_steps"),
+            F.lit(cause).alias("root_cause"), F.lit(steps).alias("fix_steps"),
             F.lit(prevention).alias("prevention"))
 
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    chosen = None
-    for pattern, *parts in FIX_RULES:
-        found = lowered.rlike(pattern)
-        chosen = F.when(found, fix(*parts)) if chosen is None else chosen.when(found, fix(*parts))
+    first, *others = FIX_RULES
+    chosen = F.when(lowered.rlike(first[0]), fix(*first[1:]))
+    for pattern, *parts in others:
+        chosen = chosen.when(lowered.rlike(pattern), fix(*parts))
     return chosen.otherwise(fix(*OTHER_FIX))
 
 

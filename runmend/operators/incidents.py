@@ -48,26 +48,13 @@ def insert_incidents(failures: DataFrame, as_of: datetime, settings: Settings =
     )
 
 
-def new_incident_events(labelled: DataFrame, as_of: datetime, settings: Settings = Settings()) -> DataFrame:
-    """Events of new failures that have their label: detected, then classified. Both
-    come from one pass over the failures."""
-    now = instant_like(as_of, labelled, "start_time")
-    told = ["classification", "reasoning", "confidence", "parse_status", "raw_response", "fix_suggestion"]
-    labelled = schemas.evolve(labelled, schemas.INCIDENT_EVENTS)
-    detected = F.struct(
-        F.lit(1).alias("seq"), F.lit(fixed.DETECTED).alias("event"),
-        F.lit(fixed.DETECTED).alias("status"),
-        *[F.lit(None).cast("string").alias(c) for c in told],
-        F.lit(None).cast("timestamp").alias("next_retry_at"))
-    classified = F.struct(
-        F.lit(2).alias("seq"), F.lit(fixed.CLASSIFIED).alias("event"), "status", *told,
-        _next_retry(F.col("status"), now, settings).alias("next_retry_at"))
-    events = labelled.select(
+def begin_tracking(failures: DataFrame, as_of: datetime, settings: Settings = Settings()) -> DataFrame:
+    """Failures as incidents without events: version 0."""
+    return failures.select(
         tracking_id(F.col("job_id"), F.col("run_id")).alias("tracking_id"),
-        now.alias("ts"), "job_id", "run_id",
-        failed_at(labelled, as_of, settings).alias("failed_at"), "error_message",
-        F.explode(F.array(detected, classified)).alias("e"))
-    return schemas.conform(events.select("*", "e.*").drop("e"), schemas.INCIDENT_EVENTS)
+        "job_id", "run_id", "error_message",
+        failed_at(failures, as_of, settings).cast("timestamp").alias("failed_at"),
+        F.lit(0).alias("version"))
 
 
 def _next_retry(status: Column, now: Column, settings: Settings) -> Column:
@@ -76,16 +63,32 @@ def _next_retry(status: Column, now: Column, settings: Settings) -> Column:
     return F.when(status == fixed.RETRY_SCHEDULED, due)
 
 
-def transition_events(rows: DataFrame, event: Column, as_of: datetime, settings: Settings = Settings()) -> DataFrame:
-    """Events that move known incidents to ``rows.status``. ``rows`` has tracking_id,
-    job_id, version, status and, where they apply, run_id, error_message and labels."""
+def events_of(moves: DataFrame, as_of: datetime, settings: Settings = Settings()) -> DataFrame:
+    """Events that move incidents to ``moves.status``, numbered on from their version.
+
+    ``moves`` has tracking_id, job_id, version and status and, where they apply, run_id,
+    error_message, label columns and fix_suggestion. An incident without events is
+    detected first; both of its events come from the one row.
+    """
+    moves = schemas.evolve(moves, schemas.INCIDENT_EVENTS)
     now = instant(as_of, T.TimestampType())
-    return schemas.conform(
-        rows.withColumn("seq", F.col("version") + 1)
-        .withColumn("event", event)
-        .withColumn("ts", now)
-        .withColumn("next_retry_at", _next_retry(F.col("status"), now, settings)),
-        schemas.INCIDENT_EVENTS)
+    is_new = F.col("version") == 0
+    told = ["classification", "reasoning", "confidence", "parse_status", "raw_response", "fix_suggestion"]
+    detected = F.struct(
+        F.lit(1).alias("seq"), F.lit(fixed.DETECTED).alias("event"),
+        F.lit(fixed.DETECTED).alias("status"), "failed_at",
+        *[F.lit(None).cast("string").alias(c) for c in told],
+        F.lit(None).cast("timestamp").alias("next_retry_at"))
+    moved = F.struct(
+        F.when(is_new, 2).otherwise(F.col("version") + 1).alias("seq"),
+        F.when(F.col("classification").isNotNull(), fixed.CLASSIFIED)
+        .otherwise(F.col("status")).alias("event"),
+        "status", F.lit(None).cast("timestamp").alias("failed_at"), *told,
+        _next_retry(F.col("status"), now, settings).alias("next_retry_at"))
+    both = F.when(is_new, F.array(detected, moved)).otherwise(F.array(moved))
+    events = moves.select(
+        "tracking_id", now.alias("ts"), "job_id", "run_id", "error_message", F.explode(both).alias("e"))
+    return schemas.conform(events.select("*", "e.*"), schemas.INCIDENT_EVENTS)
 
 
 def store_fix_events(fixes: DataFrame, as_of: datetime) -> DataFrame:

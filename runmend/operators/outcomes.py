@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runmend import fixed
 from runmend.operators import joins
-from runmend.operators.classify import LABEL_COLUMNS, Classifier, classify_by_rules, decide
+from runmend.operators.classify import Classifier, classify_by_rules, decide
 from runmend.operators.detect import with_error_text
 from runmend.operators.incidents import rows_by_status
 from runmend.operators.runs import scan_runs
@@ -16,16 +16,15 @@ from runmend.settings import Settings
 STILL_RUNNING = "still_running"
 
 
-def check_outcomes(
-    incidents: DataFrame, runs: DataFrame, run_outputs: DataFrame,
-    settings: Settings = Settings(), classify: Classifier = classify_by_rules,
+def outcome_states(
+    incidents: DataFrame, runs: DataFrame, run_outputs: DataFrame, settings: Settings = Settings(),
 ) -> DataFrame:
-    """Outcome of each retried incident: still_running, resolved, max_retries_reached,
-    or the status its new error leads to, with the new error and label.
+    """Status each retried incident's run leads to; null, with the run's error_message,
+    where that depends on the label of the new error.
 
     Any finished state but success is a failed retry. A run that is not in the
-    snapshot, or has no result yet, is still running. Error texts are looked up and
-    labelled only for rows that need a new decision.
+    snapshot, or has no result yet, is still running. Error texts are looked up only
+    for rows that need a new decision.
     """
     columns = ["tracking_id", "job_id", "run_id", "retry_count"]
     columns += [c for c in ("version",) if c in incidents.columns]
@@ -35,14 +34,21 @@ def check_outcomes(
 
     states = scan_runs(runs).select("run_id", "result_state", "task_run_id")
     rows = joins.lookup(retried, states, "run_id", small, row_id="tracking_id")
-    settled = (
+    rows = rows.withColumn(
+        "status",
         F.when(F.col("result_state").isNull(), STILL_RUNNING)
         .when(F.col("result_state") == fixed.SUCCESS, fixed.RESOLVED)
         .when(F.col("retry_count") >= settings.max_retries, fixed.MAX_RETRIES_REACHED))
-    rows = rows.withColumn("status", settled)
+    open_question = F.col("status").isNull()
+    rows = rows.withColumn("task_run_id", F.when(open_question, F.col("task_run_id")))
+    return with_error_text(rows, run_outputs, settings, small).select(
+        *columns, F.when(open_question, F.col("error_message")).alias("error_message"), "status")
+
 
-    decided = rows.where(F.col("status").isNotNull()).select(*columns, "status")
-    again = rows.where(F.col("status").isNull()).select(*columns, "task_run_id")
-    texts = with_error_text(again, run_outputs, settings, small).drop("task_run_id")
-    return decide(classify(texts)).unionByName(decided, allowMissingColumns=True).select(
-        *columns, "error_message", *LABEL_COLUMNS, "status")
+def check_outcomes(
+    incidents: DataFrame, runs: DataFrame, run_outputs: DataFrame,
+    settings: Settings = Settings(), classify: Classifier = classify_by_rules,
+) -> DataFrame:
+    """Outcome of each retried incident: still_running, resolved, max_retries_reached,
+    or the status its new error leads to, with the new error and label."""
+    return decide(classify(outcome_states(incidents, runs, run_outputs, settings)))

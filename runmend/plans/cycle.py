@@ -6,7 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,36 +43,27 @@ class Judgement:
     classify: Classifier = classify_by_rules
     suggest: Suggester = suggest_by_rules()
 
-    def label(self, rows: DataFrame) -> DataFrame:
-        """Adds the label and the status it leads to."""
-        return decide(self.classify(rows))
+    def events(self, moves: DataFrame, as_of: datetime, with_fixes: bool) -> DataFrame:
+        """Events of the moves. Moves with an error text get its label and the status it
+        leads to; the others have their status already."""
+        decided = decide(self.classify(moves))
+        if with_fixes:
+            fix = fix_json(F.col("fix"))
+            decided = self.suggest(decided).withColumn("fix_suggestion", fix).drop("fix")
+        return state.events_of(decided, as_of, self.settings)
 
-    def fix(self, rows: DataFrame, wanted: bool) -> DataFrame:
-        """Adds fix_suggestion, as JSON, to rows that became permanent."""
-        if not wanted:
-            return rows.withColumn("fix_suggestion", F.lit(None).cast("string"))
-        return self.suggest(rows).withColumn("fix_suggestion", fix_json(F.col("fix"))).drop("fix")
 
-
-def new_events(failures: DataFrame, as_of: datetime, judge: Judgement, with_fixes: bool) -> DataFrame:
-    """Events that start tracking the failures."""
-    labelled = judge.fix(judge.label(failures), with_fixes)
-    return state.new_incident_events(labelled, as_of, judge.settings)
-
-
-def _acked(open_rows: DataFrame, acks: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Open rows after the acks, and the rows the acks changed."""
-    if acks is None:
-        return open_rows, None
-    started = retry.apply_retry_acks(open_rows, acks).checkpoint()
-    rest = open_rows.join(started.select("tracking_id"), "tracking_id", "left_anti")
-    now_version = started.withColumn("version", F.col("version") + 1)
-    return rest.unionByName(now_version), started
+def track_failures(
+    store: TriageStore, failures: DataFrame, jobs: DataFrame, batch: Batch, as_of: datetime,
+    judge: Judgement,
+) -> None:
+    """Starts tracking reported failures, with fixes and notices."""
+    moves = state.begin_tracking(failures, as_of, judge.settings)
+    store.append_events(judge.events(moves, as_of, with_fixes=True), batch)
+    write_notices(store, jobs, batch, judge.settings)
 
 
-def write_notices(
-    store: TriageStore, jobs: DataFrame, batch: Batch, settings: Settings,
-) -> None:
+def write_notices(store: TriageStore, jobs: DataFrame, batch: Batch, settings: Settings) -> None:
     """A notification for each incident the batch made permanent, from its events."""
     made = store.batch_events(batch).where(
         (F.col("event") == fixed.CLASSIFIED) & (F.col("status") == fixed.PERMANENT_NO_ACTION))
@@ -81,6 +72,13 @@ def write_notices(
         notifications(with_owner(rows, jobs, settings), F.col("ts")), batch)
 
 
+def _started(open_rows: DataFrame, acks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open rows after the acks, and the rows the acks changed."""
+    started = retry.apply_retry_acks(open_rows, acks).checkpoint()
+    rest = open_rows.join(started.select("tracking_id"), "tracking_id", "left_anti")
+    return rest.unionByName(started.withColumn("version", F.col("version") + 1)), started
+
+
 def run_cycle(
     store: TriageStore, inputs: Inputs, as_of: datetime, number: int,
     judge: Judgement = Judgement(), writer: str = "cycle",
@@ -89,50 +87,45 @@ def run_cycle(
     up on retries that were started.
 
     The three steps act on different statuses, and what one of them writes is not due
-    for another in the same pass, so they are planned from one state and written at
-    once. Repeating a pass with its number rewrites the same rows.
+    for another in the same pass, so they are planned from one state, and their moves
+    are labelled and written together. Repeating a pass with its number rewrites the
+    same rows.
     """
     settings = judge.settings
     batch = Batch(writer, number)
     shared_dir(store.spark)
-    now = instant(as_of, T.TimestampType())
     notify = settings.notify_on == "all"
 
     open_rows = store.state(without=batch, statuses=fixed.OPEN_STATUSES).checkpoint()
-    open_rows, started = _acked(open_rows, inputs.retry_acks)
-
     known = store.known_run_ids(without=batch)
+    moves = []
     if inputs.retry_acks is not None:
+        open_rows, started = _started(open_rows, inputs.retry_acks)
         known = known.unionByName(inputs.retry_acks.select(F.col("new_run_id").alias("run_id")))
+        moves.append(started.select(
+            "tracking_id", "job_id", F.col("latest_run_id").alias("run_id"), "version", "status"))
+
     found = detect_new_failures(
         inputs.runs, inputs.run_outputs, known, as_of, settings, inputs.monitored)
+    moves.append(state.begin_tracking(found, as_of, settings))
+
+    # Rows that a broken pass left without a label.
+    moves.append(state.rows_by_status(open_rows, fixed.DETECTED).select(
+        "tracking_id", "job_id", F.col("latest_run_id").alias("run_id"), "version", "error_message"))
+
     plan = retry.plan_retries(open_rows, inputs.runs, as_of, settings).checkpoint()
-    outcome = outcomes.check_outcomes(
-        open_rows, inputs.runs, inputs.run_outputs, settings, judge.classify)
-    # Rows a broken pass left without a label.
-    stranded = state.rows_by_status(open_rows, fixed.DETECTED).select(
-        "tracking_id", "job_id", F.col("latest_run_id").alias("run_id"), "version", "error_message")
-
-    def moves(rows: DataFrame, event: Column) -> DataFrame:
-        return state.transition_events(rows, event, as_of, settings)
-
-    decided = F.col("classification").isNotNull()
-    changes = [
-        new_events(found, as_of, judge, notify),
-        moves(judge.fix(judge.label(stranded), notify), F.lit(fixed.CLASSIFIED)),
-        moves(plan.where(F.col("action") == fixed.RESOLVED)
-              .withColumn("status", F.lit(fixed.RESOLVED)), F.lit(fixed.RESOLVED)),
-        moves(judge.fix(outcome.where(F.col("status") != outcomes.STILL_RUNNING), notify),
-              F.when(decided, fixed.CLASSIFIED).otherwise(F.col("status"))),
-    ]
-    if started is not None:
-        changes.append(moves(
-            started.select("tracking_id", "job_id", F.col("latest_run_id").alias("run_id"), "version", "status"),
-            F.lit(fixed.RETRIED)))
-    events = changes[0]
-    for more in changes[1:]:
-        events = events.unionByName(more)
-    store.append_events(events, batch)
+    moves.append(plan.where(F.col("action") == fixed.RESOLVED).select(
+        "tracking_id", "job_id", "version", F.col("action").alias("status")))
+
+    outcome = outcomes.outcome_states(open_rows, inputs.runs, inputs.run_outputs, settings)
+    settled = ~F.col("status").eqNullSafe(outcomes.STILL_RUNNING)
+    moves.append(outcome.where(settled).drop("retry_count"))
+
+    together = moves[0]
+    for more in moves[1:]:
+        together = together.unionByName(more, allowMissingColumns=True)
+    store.append_events(judge.events(together, as_of, with_fixes=notify), batch)
+    now = instant(as_of, T.TimestampType())
     store.append_retry_requests(retry.retry_requests(plan, now), batch)
     if notify:
         write_notices(store, inputs.jobs, batch, settings)

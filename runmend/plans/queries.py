@@ -15,7 +15,7 @@ from runmend.functions.messages import notice_time
 from runmend.functions.prompts import classification_prompt, fix_prompt
 from runmend.operators import classify, detect, fixes, incidents as state, joins, notify
 from runmend.operators import outcomes, reports, retry, runs as run_ops
-from runmend.plans.cycle import Inputs, run_cycle as run_one_cycle
+from runmend.plans.cycle import Inputs, Judgement, run_cycle as run_one_cycle
 from runmend.session import scratch_path
 from runmend.settings import Settings
 from runmend.sources import sample_tables as sample
@@ -26,7 +26,6 @@ from runmend.streaming.reactor import react_to_runs, take_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings()
-NOW = sample.ntz(AS_OF)
 REGISTERED: dict[str, Query] = {}
 
 
@@ -35,6 +34,10 @@ def query(function: Query) -> Query:
     return function
 
 
+def _now() -> Column:
+    return sample.ntz(AS_OF)
+
+
 def _joined(column: str) -> Column:
     """A list of strings as one string, which every engine prints the same way."""
     return F.array_join(column, ",").alias(column)
@@ -162,7 +165,7 @@ def valid_events(spark, sf_dir):
 
 @query
 def merged_failures(spark, sf_dir):
-    from_events = detect.event_failures(sample.failure_events(spark, sf_dir), NOW)
+    from_events = detect.event_failures(sample.failure_events(spark, sf_dir), _now())
     return detect.merge_failures(from_events, _detected(spark, sf_dir))
 
 
@@ -284,8 +287,8 @@ def detect_classify_decide(spark, sf_dir):
 
 @query
 def new_incident_state(spark, sf_dir):
-    labelled = classify.decide(classify.classify_by_rules(_detected(spark, sf_dir)))
-    rows = state.current_state(state.new_incident_events(labelled, AS_OF, SETTINGS))
+    moves = state.begin_tracking(_detected(spark, sf_dir), AS_OF, SETTINGS)
+    rows = state.current_state(Judgement(SETTINGS).events(moves, AS_OF, with_fixes=True))
     return rows.select(
         "tracking_id", "job_id", "original_run_id", "latest_run_id", "error_message",
         "classification", "retry_count", "status", _joined("all_run_ids"))
@@ -340,7 +343,7 @@ def illegal_transitions(spark, sf_dir):
 @query
 def due_rows(spark, sf_dir):
     rows = retry.due_rows(sample.incidents(spark, sf_dir), AS_OF, SETTINGS)
-    waited = F.unix_micros(NOW.cast("timestamp")) - F.unix_micros(F.col("last_updated_at").cast("timestamp"))
+    waited = F.unix_micros(_now().cast("timestamp")) - F.unix_micros(F.col("last_updated_at").cast("timestamp"))
     return rows.select("tracking_id", "job_id", "last_updated_at", waited.alias("waited_micros"))
 
 
@@ -375,7 +378,7 @@ def plan_retries_v2(spark, sf_dir):
 
 @query
 def retry_requests(spark, sf_dir):
-    return retry.retry_requests(_plan(spark, sf_dir), NOW)
+    return retry.retry_requests(_plan(spark, sf_dir), _now())
 
 
 @query
@@ -435,7 +438,7 @@ def notify_owner(spark, sf_dir):
 @query
 def notifications(spark, sf_dir):
     rows = notify.with_owner(_permanent(spark, sf_dir), sample.jobs(spark, sf_dir), SETTINGS)
-    sent = notify.notifications(rows, NOW)
+    sent = notify.notifications(rows, _now())
     fix = F.from_json("fix_suggestion", schemas.FIX)
     return sent.select(
         "job_id", "notified_user", "error_message", "ai_reasoning",

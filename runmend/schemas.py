@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 RUNS = T.StructType([
@@ -108,31 +107,26 @@ FIX = T.StructType([
 ])
 
 
-def _required(field: T.StructField) -> Column:
-    """The column of a NOT NULL field; a null stops the write."""
-    value = F.col(field.name).cast(field.dataType)
-    message = F.lit(f"{field.name} must not be null")
-    return F.when(value.isNotNull(), value).otherwise(F.raise_error(message).cast(field.dataType))
+def _conformed(field: T.StructField, present: bool) -> str:
+    kind = field.dataType.simpleString()
+    if not present:
+        return f"CAST(NULL AS {kind}) AS {field.name}"
+    if field.nullable:
+        return f"CAST({field.name} AS {kind}) AS {field.name}"
+    stop = f"CAST(raise_error('{field.name} must not be null') AS {kind})"
+    return f"coalesce(CAST({field.name} AS {kind}), {stop}) AS {field.name}"
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of ``schema`` in its order and types: absent nullable columns are added
-    as null, extra columns dropped, and NOT NULL columns checked while rows flow by."""
+    as null, extra columns dropped, and a null in a NOT NULL column stops the write."""
     missing = [f.name for f in schema if not f.nullable and f.name not in df.columns]
     if missing:
         raise ValueError(f"missing NOT NULL columns: {', '.join(missing)}")
-    return df.select(*[
-        (F.lit(None).cast(f.dataType) if f.name not in df.columns
-         else F.col(f.name).cast(f.dataType) if f.nullable
-         else _required(f)).alias(f.name)
-        for f in schema
-    ])
+    return df.selectExpr(*[_conformed(f, f.name in df.columns) for f in schema])
 
 
 def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` with the columns of ``schema`` it lacks added as nulls; a column that is
     there already is left as it is."""
-    return df.select(
-        "*",
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in df.columns],
-    )
+    return df.selectExpr("*", *[_conformed(f, False) for f in schema if f.name not in df.columns])

@@ -15,7 +15,7 @@ from runmend.operators import joins
 from runmend.operators.detect import (
     event_failures, is_valid_event, untracked, with_error_text, within_lookback)
 from runmend.operators.runs import failed_runs, scan_runs
-from runmend.plans.cycle import Judgement, new_events, write_notices
+from runmend.plans.cycle import Judgement, track_failures
 from runmend.settings import Settings
 from runmend.sources.store import Batch, TriageStore
 
@@ -52,7 +52,7 @@ def react_to_runs(
         found = untracked(rows, store.known_run_ids(without=batch)).drop("life_cycle_state", "result_state")
         found = found.checkpoint()
         texts = with_error_text(found, run_outputs(), settings, joins.is_small(found, settings))
-        _track(store, texts, jobs, batch, as_of, judge)
+        track_failures(store, texts, jobs(), batch, as_of, judge)
 
     return (
         failed_once(runs, settings).writeStream.foreachBatch(track)
@@ -77,16 +77,8 @@ def take_events(
         reported = event_failures(batch_rows, now).groupBy("run_id").agg(first.alias("_first"))
         reported = reported.select("run_id", "_first.*")
         found = untracked(reported, store.known_run_ids(without=batch))
-        _track(store, found, jobs, batch, as_of, judge)
+        track_failures(store, found, jobs(), batch, as_of, judge)
         if full_scan is not None and not batch_rows.where(~is_valid_event()).isEmpty():
             full_scan(number)
 
     return events.writeStream.foreachBatch(track).option("checkpointLocation", checkpoint)
-
-
-def _track(
-    store: TriageStore, failures: DataFrame, jobs: Callable[[], DataFrame], batch: Batch,
-    as_of: datetime, judge: Judgement,
-) -> None:
-    store.append_events(new_events(failures, as_of, judge, with_fixes=True), batch)
-    write_notices(store, jobs(), batch, judge.settings)

@@ -38,17 +38,19 @@ class World:
             retry_acks=make(self.acks, schemas.RETRY_ACKS))
         run_cycle(self.store, inputs, as_of, number, judge)
 
-    def start_requested(self, at, result, error=None):
-        """Starts the run of every new request, as the job service would."""
-        started = 0
+    def start_requested(self, at, results):
+        """Starts the run of every new request, as the job service would. ``results``
+        gives (result, error) by job."""
+        started = []
         for r in self.store.retry_requests().collect():
             if r.request_id not in self.seen_requests:
                 self.seen_requests.add(r.request_id)
-                run = f"r{len(self.seen_requests)}"
+                run = f"{r.job_id}-r{sum(1 for x in self.runs.values() if x[0] == r.job_id)}"
+                result, error = results[r.job_id]
                 self.run(r.job_id, run, at, result, error, "RUNNING" if result is None else "TERMINATED")
                 self.acks.append((r.tracking_id, run))
-                started += 1
-        return started
+                started.append(r.job_id)
+        return sorted(started)
 
     def state(self):
         return {r.original_run_id: r for r in self.store.state().collect()}
@@ -96,92 +98,65 @@ def test_no_notices_when_only_events_notify(world):
     assert world.store.notifications().count() == 0
 
 
-def test_three_retries_then_cut_off(world):
-    world.run("a", "1", minutes(-30), "FAILED", TIMEOUT)
-    number, at = 0, 0
-    for _ in range(7):
-        number += 1
-        world.cycle(minutes(at), number)
-        world.start_requested(minutes(at + 1), "FAILED", TIMEOUT)
-        at += 16
-    (row,) = world.state().values()
-    assert (row.status, row.retry_count) == ("max_retries_reached", 3)
-    assert row.all_run_ids == ["1", "r1", "r2", "r3"] and row.latest_run_id == "r3"
-    assert len(world.seen_requests) == 3
-    assert reports.illegal_transitions(world.store.events()).count() == 0
-
+def test_story_of_four_jobs(world):
+    """a fails every retry, b fails its retry for another reason, c has three failures
+    and a slow retry, d fails for good."""
+    for run, job, error in (("1", "a", TIMEOUT), ("2", "b", TIMEOUT), ("3", "c", TIMEOUT),
+                            ("4", "c", TIMEOUT), ("5", "c", TIMEOUT), ("6", "d", NAME_ERROR)):
+        world.run(job, run, minutes(-40 + int(run)), "FAILED", error)
+    results = {"a": ("FAILED", TIMEOUT), "b": ("FAILED", NAME_ERROR), "c": (None, None)}
 
-def test_one_retry_per_job_and_pass(world):
-    for run, at in (("1", -30), ("2", -29), ("3", -28)):
-        world.run("a", run, minutes(at), "FAILED", TIMEOUT)
-    world.cycle(T0, 1)
+    world.cycle(minutes(0), 1)
+    assert world.start_requested(minutes(1), results) == []  # not due yet
     world.cycle(minutes(15), 2)
-    assert world.start_requested(minutes(16), None) == 1
-    # The run of the first retry is still active: the others wait.
-    world.cycle(minutes(31), 3)
-    assert world.start_requested(minutes(32), None) == 0
-    rows = world.state()
-    assert [rows[k].status for k in "123"] == ["retried", "retry_scheduled", "retry_scheduled"]
-    # It succeeds: the retried one and, as a newer success, the others are resolved.
-    world.run("a", "r1", minutes(16), "SUCCESS")
-    world.cycle(minutes(47), 4)
-    assert {r.status for r in world.state().values()} == {"resolved"}
+    # Due to the minute, and one retry per job and pass.
+    assert world.start_requested(minutes(16), results) == ["a", "b", "c"]
 
-
-def test_new_error_routes_again(world):
-    world.run("a", "1", minutes(-30), "FAILED", TIMEOUT)
-    world.cycle(T0, 1)
-    world.cycle(minutes(15), 2)
-    world.start_requested(minutes(16), "FAILED", NAME_ERROR)
-    world.cycle(minutes(30), 3)
-    (row,) = world.state().values()
-    assert (row.status, row.classification) == ("permanent_no_action", "Permanent")
-    assert row.error_message == TIMEOUT  # the incident keeps its first text
-    assert [r.error_message for r in world.log() if r.seq == 4] == [NAME_ERROR]
-    assert world.store.notifications().collect()[0].error_message == NAME_ERROR
-
-
-def test_repeated_pass_changes_nothing(world):
-    world.run("a", "1", minutes(-30), "FAILED", TIMEOUT)
-    world.run("b", "2", minutes(-20), "FAILED", NAME_ERROR)
-    world.cycle(T0, 1)
-    world.cycle(minutes(15), 2)
-    world.start_requested(minutes(16), "SUCCESS")
     world.cycle(minutes(31), 3)
-    log, notices = world.log(), world.store.notifications().count()
-    requests = world.store.retry_requests().count()
+    assert world.start_requested(minutes(32), results) == []  # the run of c is still active
+    rows = world.state()
+    assert {k: r.status for k, r in rows.items()} == {
+        "1": "retry_scheduled", "2": "permanent_no_action", "3": "retried",
+        "4": "retry_scheduled", "5": "retry_scheduled", "6": "permanent_no_action"}
+    # A new label keeps the first text; the new one is in the log and in the notice.
+    assert (rows["2"].classification, rows["2"].error_message) == ("Permanent", TIMEOUT)
+    assert [r.error_message for r in world.log() if r.tracking_id == rows["2"].tracking_id][-1] == NAME_ERROR
+    notices = {r.job_id: r.error_message for r in world.store.notifications().collect()}
+    assert notices == {"b": NAME_ERROR, "d": NAME_ERROR}
+
+    # Repeating a pass changes nothing, nor does folding the log into a snapshot.
+    log, requests = world.log(), world.store.retry_requests().count()
     world.cycle(minutes(31), 3)
     assert world.log() == log
-    assert world.store.notifications().count() == notices
+    assert world.store.notifications().count() == 2
     assert world.store.retry_requests().count() == requests
-
-
-def test_compaction_keeps_state_and_history(world):
-    world.run("a", "1", minutes(-30), "FAILED", TIMEOUT)
-    world.run("b", "2", minutes(-20), "FAILED", NAME_ERROR)
-    world.cycle(T0, 1)
-    world.cycle(minutes(15), 2)
-    world.start_requested(minutes(16), "FAILED", TIMEOUT)
-    world.cycle(minutes(31), 3)
-    before = world.state()
     world.store.compact()
     assert world.store._marks() == (1, {"cycle": 2})
-    assert world.state() == before
+    assert world.state() == rows
     known = {r.run_id for r in world.store.known_run_ids().collect()}
-    assert known == {"1", "2", "r1"}
+    assert known == {"1", "2", "3", "4", "5", "6", "a-r1", "b-r1", "c-r3"}
     open_rows = world.store.state(statuses=fixed.OPEN_STATUSES).collect()
-    assert {r.original_run_id for r in open_rows} == {"1"}
-    # Later passes fold onto the snapshot; a repeated last pass is still possible.
-    world.cycle(minutes(31), 3)
+    assert {r.original_run_id for r in open_rows} == {"1", "3", "4", "5"}
+
+    # The slow run succeeds: its incident is resolved, and so are the others of the job.
+    world.run("c", "c-r3", minutes(16), "SUCCESS")
     world.cycle(minutes(47), 4)
-    world.start_requested(minutes(48), "SUCCESS")
-    world.cycle(minutes(63), 5)
-    world.store.compact()
-    assert world.store._marks() == (2, {"cycle": 4})
     rows = world.state()
-    assert rows["1"].status == "resolved" and rows["1"].retry_count == 2
-    assert rows["1"].all_run_ids == ["1", "r1", "r2"]
+    assert {rows[k].status for k in "345"} == {"resolved"}
+    assert world.start_requested(minutes(48), results) == ["a"]
+    for number in (5, 6, 7):
+        world.cycle(minutes(47 + 16 * (number - 4)), number)
+        world.start_requested(minutes(48 + 16 * (number - 4)), results)
+    world.store.compact()
+    assert world.store._marks() == (2, {"cycle": 6})
+    row = world.state()["1"]
+    assert (row.status, row.retry_count) == ("max_retries_reached", 3)
+    assert row.all_run_ids == ["1", "a-r1", "a-r2", "a-r3"] and row.latest_run_id == "a-r3"
+    assert len(world.seen_requests) == 5
     assert reports.illegal_transitions(world.store.events()).count() == 0
+    # No run was tracked twice.
+    starts = [r.run_id for r in world.log() if r.event in ("detected", "retried")]
+    assert len(starts) == len(set(starts)) == len(world.runs)
 
 
 def test_stranded_detected_row_is_labelled(world):
