@@ -15,14 +15,15 @@ def is_json_object(raw: Column) -> Column:
     """True when ``raw`` is one JSON object and nothing else.
 
     ``from_json`` alone stops at the end of the first value, so the text is put in an
-    array before an end mark: only a single complete value leaves two elements.
+    array before an end mark: only a single complete value leaves two elements. That it
+    is an object shows in the text itself, as a string element loses its quotes.
     """
     wrapped = F.from_json(
         F.concat(F.lit("["), raw, F.lit(f',"{_END}"]')), "array<string>", _OPTIONS)
     one_object = (
         (F.size(wrapped) == 2)
         & (F.get(wrapped, F.lit(1)) == _END)
-        & F.get(wrapped, F.lit(0)).startswith("{")
+        & raw.rlike(r"^[ \t\n\r]*\{")
     )
     return F.coalesce(one_object, F.lit(False))
 
