@@ -82,39 +82,39 @@ def call_model(
     return prompts.mapInPandas(respond, schema)
 
 
-def distinct_texts(rows: DataFrame) -> DataFrame:
-    """Each error text once, with how often it occurs."""
-    texts = rows.where(F.col("error_message").isNotNull())
-    return texts.groupBy("error_message").agg(F.count("*").alias("n"))
-
-
-def attach_labels(rows: DataFrame, labels: DataFrame, settings: Settings, row_id: str = "run_id") -> DataFrame:
-    """Labels joined back to the rows by text. ``labels`` has one row per text with its
-    count ``n``. A text that occurs more than ``hot_rows`` times is spread over pieces;
-    there are at most rows / hot_rows such texts."""
-    keyed = labels.withColumn("_key", F.xxhash64("error_message"))
-    rows = rows.withColumn("_key", F.xxhash64("error_message"))
-    if joins.is_small(labels, settings):
-        spread, pieces = rows, F.broadcast(keyed.drop("n"))
-        on = ["_key", "error_message"]
+def distinct_texts(rows: DataFrame, text: str = "error_message") -> DataFrame:
+    """Each text once, with how often it occurs."""
+    return rows.where(F.col(text).isNotNull()).groupBy(text).agg(F.count("*").alias("n"))
+
+
+def attach_by_text(
+    rows: DataFrame, found: DataFrame, settings: Settings, row_id: str, text: str = "error_message",
+) -> DataFrame:
+    """What was found per text, joined back to the rows. ``found`` has one row per text
+    with its count ``n``. A text that occurs more than ``hot_rows`` times is spread over
+    pieces by ``row_id``; there are at most rows / hot_rows such texts. Rows without a
+    text are not joined and get nulls."""
+    added = [c for c in found.columns if c not in (text, "n")]
+    nothing = rows.where(F.col(text).isNull())
+    rows = rows.where(F.col(text).isNotNull()).withColumn("_key", F.xxhash64(text))
+    found = found.withColumn("_key", F.xxhash64(text))
+    on = ["_key", text]
+    if joins.is_small(found, settings):
+        found = F.broadcast(found)
     else:
-        hot = (
-            keyed.where(F.col("n") > settings.hot_rows)
-            .groupBy("_key").agg(F.ceil(F.max("n") / settings.hot_rows).cast("int").alias("_pieces"))
-        )
-        few = joins.is_small(hot, settings)
-        piece = F.pmod(F.xxhash64(row_id), F.coalesce("_pieces", F.lit(1))).cast("int")
-        spread = (
-            rows.join(F.broadcast(hot) if few else hot, "_key", "left")
-            .withColumn("_piece", piece).drop("_pieces")
-        )
-        pieces = (
-            keyed.join(F.broadcast(hot) if few else hot, "_key", "left")
-            .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)))
-            .drop("n", "_pieces")
-        )
-        on = ["_key", "_piece", "error_message"]
-    return spread.join(pieces, on, "left").drop("_key", "_piece")
+        count = F.ceil(F.max("n") / settings.hot_rows).cast("int")
+        hot = found.where(F.col("n") > settings.hot_rows).groupBy("_key").agg(count.alias("_pieces"))
+        if joins.is_small(hot, settings):
+            hot = F.broadcast(hot)
+        pieces = F.coalesce("_pieces", F.lit(1))
+        rows = rows.join(hot, "_key", "left").withColumn(
+            "_piece", F.pmod(F.xxhash64(row_id), pieces).cast("int")).drop("_pieces")
+        found = found.join(hot, "_key", "left").withColumn(
+            "_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
+        on = ["_key", "_piece", text]
+    joined = rows.join(found.drop("n"), on, "left").drop("_key", "_piece")
+    columns = [c for c in nothing.columns] + added
+    return joined.select(columns).unionByName(nothing, allowMissingColumns=True)
 
 
 def model_classifier(
@@ -136,11 +136,11 @@ def model_classifier(
             answered.withColumn("_label", parse_response(F.col("raw_response")))
             .select("error_message", "n", *[f"_label.{c}" for c in LABEL_COLUMNS])
         )
-        return attach_labels(rows, labels, settings, row_id)
+        return attach_by_text(rows, labels, settings, row_id)
 
     return classify
 
 
 def classify_dedup(rows: DataFrame, settings: Settings) -> DataFrame:
     """Labels computed once per distinct text and joined back."""
-    return attach_labels(rows, classify_by_rules(distinct_texts(rows)), settings)
+    return attach_by_text(rows, classify_by_rules(distinct_texts(rows)), settings, "run_id")

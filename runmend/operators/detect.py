@@ -7,8 +7,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runmend.functions.clock import instant_like
 from runmend.operators import joins
-from runmend.operators.runs import failed_runs, newest_per_job, scan_runs, within_lookback
+from runmend.operators.runs import (
+    dated_since, failed_runs, newest_per_job, scan_runs, within_lookback)
 from runmend.settings import Settings
 
 
@@ -22,9 +24,16 @@ def known_run_ids(incidents: DataFrame) -> DataFrame:
     return tracked_runs(incidents).distinct()
 
 
-def untracked(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows whose run id is not among ``known.run_id``, which may repeat."""
-    return rows.join(known.select("run_id"), "run_id", "left_anti")
+def untracked(rows: DataFrame, known: DataFrame, small: bool = False) -> DataFrame:
+    """Rows whose run id is not among ``known.run_id``, which may repeat.
+
+    When the rows are few, the long history of known ids is only filtered by them, and
+    what is left of it, at most one id per row, is broadcast back.
+    """
+    known = known.select("run_id")
+    if small:
+        known = F.broadcast(joins.keep_keys(known, rows, "run_id", small=True).distinct())
+    return rows.join(known, "run_id", "left_anti")
 
 
 def error_text(error: Column, settings: Settings) -> Column:
@@ -34,18 +43,20 @@ def error_text(error: Column, settings: Settings) -> Column:
 
 def with_error_text(
     runs: DataFrame, run_outputs: DataFrame, settings: Settings, small: bool,
+    since: Column | None = None,
 ) -> DataFrame:
-    """``runs`` with ``error_message``, read from the output of the first task."""
-    outputs = run_outputs.select("task_run_id", "error")
+    """``runs`` with ``error_message``, read from the output of the first task. When all
+    of them started at ``since`` or later, older days of outputs are not read."""
+    outputs = run_outputs if since is None else dated_since(run_outputs, since)
+    outputs = outputs.select("task_run_id", "error")
     found = joins.lookup(runs, outputs, "task_run_id", small, row_id="run_id")
     return found.withColumn("error_message", error_text(F.col("error"), settings)).drop("error")
 
 
-def new_failures(
-    runs: DataFrame, known: DataFrame, as_of: datetime, settings: Settings,
-    monitored: DataFrame | None = None,
+def recent_failures(
+    runs: DataFrame, as_of: datetime, settings: Settings, monitored: DataFrame | None = None,
 ) -> DataFrame:
-    """Untracked failed runs, without their error texts.
+    """Failed runs among the newest of their job, tracked or not.
 
     The cap per job counts runs of every state, so the state test comes after it. The
     lookback comes before it, although the definition has it after: runs are ranked
@@ -53,7 +64,7 @@ def new_failures(
     of it and keeps its rank. That lets the time test reach the scan.
     """
     small = monitored is not None and joins.is_small(monitored, settings)
-    recent = within_lookback(scan_runs(runs), as_of, settings)
+    recent = scan_runs(within_lookback(runs, as_of, settings))
     if monitored is not None and small:
         recent = joins.keep_keys(recent, monitored, "job_id", small=True)
     newest = newest_per_job(
@@ -62,7 +73,7 @@ def new_failures(
     if monitored is not None and not small:
         # Same result after the cap, where a hot job is down to the capped rows.
         newest = joins.keep_keys(newest, monitored, "job_id", small=False)
-    return untracked(failed_runs(newest), known).drop("result_state")
+    return failed_runs(newest).drop("result_state")
 
 
 def detect_new_failures(
@@ -71,9 +82,11 @@ def detect_new_failures(
 ) -> DataFrame:
     """job_id, run_id, error_message and start_time of each failure to be tracked.
     ``known`` holds the run ids that are tracked already."""
-    found = new_failures(runs, known, as_of, settings, monitored)
-    small = joins.is_small(found, settings)
-    return with_error_text(found, run_outputs, settings, small).select(
+    failed = recent_failures(runs, as_of, settings, monitored)
+    small = joins.is_small(failed, settings)
+    since = instant_like(as_of, runs, "start_time", settings.lookback)
+    found = untracked(failed, known, small)
+    return with_error_text(found, run_outputs, settings, small, since).select(
         "job_id", "run_id", "error_message", "start_time")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runmend import fixed
 from runmend.functions.prompts import fix_prompt
 from runmend.functions.strict_json import parse_fix
-from runmend.operators.classify import Model, call_model
+from runmend.operators.classify import Model, attach_by_text, call_model, distinct_texts
 from runmend.session import shared_dir
 from runmend.settings import Settings
 
@@ -73,22 +73,23 @@ def suggest_by_rules() -> Suggester:
         "fix", F.when(_is_permanent(), rule_fix(F.col("error_message"))))
 
 
-def suggest_by_model(model: Model, settings: Settings = Settings()) -> Suggester:
-    """Fixes from one model call per permanent row; the prompt names the job, so prompts
-    differ between jobs. A call that fails gives the fallback for that row. Rows and
-    responses are written to the shared folder, so nothing is asked twice."""
+def suggest_by_model(
+    model: Model, settings: Settings = Settings(), row_id: str = "run_id",
+) -> Suggester:
+    """Fixes from one model call per different prompt; the prompt names the job. A call
+    that fails gives the fallback. Rows and responses are written to the shared folder,
+    so nothing is asked twice."""
 
     def suggest(rows: DataFrame) -> DataFrame:
         shared_dir(rows.sparkSession)
-        rows = rows.checkpoint()
-        asked = rows.where(_is_permanent()).withColumn("prompt", fix_prompt(
-            F.coalesce("error_message", F.lit("")), F.col("job_id"), F.col("reasoning")))
+        rows = rows.withColumn("prompt", F.when(_is_permanent(), fix_prompt(
+            F.coalesce("error_message", F.lit("")), F.col("job_id"), F.col("reasoning")))).checkpoint()
+        prompts = distinct_texts(rows, "prompt").repartition(settings.model_tasks, "prompt")
         answered = call_model(
-            asked.repartition(settings.model_tasks), "prompt", model, settings, answer="raw_fix", keep_going=True,
-        ).checkpoint()
+            prompts, "prompt", model, settings, answer="raw_fix", keep_going=True).checkpoint()
+        told = attach_by_text(rows, answered, settings, row_id, "prompt")
         fix = parse_fix(F.col("raw_fix"), F.col("reasoning"), F.col("call_error"))
-        suggested = answered.withColumn("fix", fix).select(*rows.columns, "fix")
-        others = rows.where(~F.coalesce(_is_permanent(), F.lit(False)))
-        return suggested.unionByName(others, allowMissingColumns=True)
+        return told.withColumn("fix", F.when(_is_permanent(), fix)).drop(
+            "prompt", "raw_fix", "call_error")
 
     return suggest

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runmend.settings import Settings
 
@@ -13,6 +16,19 @@ def is_small(df: DataFrame, settings: Settings) -> bool:
     return df.count() <= settings.broadcast_rows
 
 
+def measure(df: DataFrame, column: str, settings: Settings) -> tuple[bool, datetime | None]:
+    """Whether ``df`` is small, and its earliest ``column``, in one job. The time comes
+    back as it is stored, or with its zone, whatever zone this process is in."""
+    earliest = F.min(column)
+    zoned = isinstance(df.schema[column].dataType, T.TimestampType)
+    row = df.agg(
+        F.count("*").alias("n"), (F.unix_micros(earliest) if zoned else earliest).alias("earliest")).first()
+    small, first = row["n"] <= settings.broadcast_rows, row["earliest"]
+    if zoned and first is not None:
+        first = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=first)
+    return small, first
+
+
 def keep_keys(big: DataFrame, keys: DataFrame, on: str, small: bool) -> DataFrame:
     """Rows of ``big`` whose ``on`` occurs in ``keys``; with small keys ``big`` is
     filtered where it is read, without a shuffle."""

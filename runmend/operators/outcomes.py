@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runmend import fixed
+from runmend.functions.clock import instant_like
 from runmend.operators import joins
 from runmend.operators.classify import Classifier, classify_by_rules, decide
 from runmend.operators.detect import with_error_text
 from runmend.operators.incidents import rows_by_status
-from runmend.operators.runs import scan_runs
+from runmend.operators.runs import scan_runs, started_since
 from runmend.settings import Settings
 
 STILL_RUNNING = "still_running"
@@ -29,8 +30,14 @@ def outcome_states(
     columns = ["tracking_id", "job_id", "run_id", "retry_count"]
     columns += [c for c in ("version",) if c in incidents.columns]
     retried = rows_by_status(incidents, fixed.RETRIED).withColumn("run_id", F.col("latest_run_id"))
+    small, first_failure = joins.measure(retried, "first_failed_at", settings)
+    if first_failure is None:
+        runs, since = runs.limit(0), None
+    else:
+        # A retry starts after the failure it answers; a day is left for unequal clocks.
+        since = instant_like(first_failure, incidents, "first_failed_at", settings.clock_margin)
+        runs = started_since(runs, since)
     retried = retried.select(columns)
-    small = joins.is_small(retried, settings)
 
     states = scan_runs(runs).select("run_id", "result_state", "task_run_id")
     rows = joins.lookup(retried, states, "run_id", small, row_id="tracking_id")
@@ -41,7 +48,7 @@ def outcome_states(
         .when(F.col("retry_count") >= settings.max_retries, fixed.MAX_RETRIES_REACHED))
     open_question = F.col("status").isNull()
     rows = rows.withColumn("task_run_id", F.when(open_question, F.col("task_run_id")))
-    return with_error_text(rows, run_outputs, settings, small).select(
+    return with_error_text(rows, run_outputs, settings, small, since).select(
         *columns, F.when(open_question, F.col("error_message")).alias("error_message"), "status")
 
 

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from runmend import fixed
 from runmend.functions.clock import instant_like
-from runmend.operators import joins
+from runmend.operators import joins, runs as run_ops
 from runmend.operators.incidents import backfill_run_ids, rows_by_status
-from runmend.operators.runs import is_newer_success, job_activity
 from runmend.settings import Settings
 
 NOT_DUE = "not_due"
@@ -42,22 +41,23 @@ def due_rows_by_time(incidents: DataFrame, as_of: datetime) -> DataFrame:
     return scheduled.where(is_due_at(incidents, as_of))
 
 
-def with_job_activity(
-    rows: DataFrame, runs: DataFrame, settings: Settings, small: bool,
-) -> DataFrame:
-    """Rows with the activity of their job. Few rows name few jobs, and then only the
-    runs of those jobs leave the scan."""
-    if small:
-        runs = joins.keep_keys(runs, rows, "job_id", small=True)
-    activity = job_activity(runs, settings)
-    return joins.join_dimension(rows, activity, "job_id", "tracking_id", small, settings)
+def with_job_activity(rows: DataFrame, runs: DataFrame, settings: Settings) -> tuple[DataFrame, bool]:
+    """Rows, which have a first_failed_at, with the activity of their job, and whether
+    they are few."""
+    small, first_failure = joins.measure(rows, "first_failed_at", settings)
+    if first_failure is None:
+        runs = runs.limit(0)
+    else:
+        since = instant_like(first_failure, rows, "first_failed_at")
+        runs = run_ops.runs_that_matter(runs, since, rows, settings, small)
+    activity = run_ops.job_activity(runs, settings)
+    return joins.join_dimension(rows, activity, "job_id", "tracking_id", small, settings), small
 
 
 def newer_success(incidents: DataFrame, runs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Incidents whose job has a success that started after they first failed."""
-    small = joins.is_small(incidents, settings)
-    rows = with_job_activity(incidents, runs, settings, small)
-    return rows.where(is_newer_success(F.col("last_success_at"), F.col("first_failed_at")))
+    rows, _ = with_job_activity(incidents, runs, settings)
+    return rows.where(run_ops.is_newer_success(F.col("last_success_at"), F.col("first_failed_at")))
 
 
 def plan_retries(
@@ -75,13 +75,11 @@ def plan_retries(
     scheduled = rows_by_status(incidents, fixed.RETRY_SCHEDULED).select(
         "tracking_id", "job_id", "first_failed_at", due.alias("due"),
         *[c for c in ("version", "retry_count") if c in incidents.columns])
-    small = joins.is_small(scheduled, settings)
-
-    rows = with_job_activity(scheduled, runs, settings, small)
+    rows, small = with_job_activity(scheduled, runs, settings)
     judged = rows.withColumn(
         "_blocked",
         F.when(~F.col("due"), NOT_DUE)
-        .when(is_newer_success(F.col("last_success_at"), F.col("first_failed_at")), fixed.RESOLVED)
+        .when(run_ops.is_newer_success(F.col("last_success_at"), F.col("first_failed_at")), fixed.RESOLVED)
         .when(F.coalesce("in_progress", F.lit(False)), SKIP_IN_PROGRESS))
     firsts = (
         judged.where(F.col("_blocked").isNull())

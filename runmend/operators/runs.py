@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from runmend import fixed
 from runmend.functions.clock import instant_like, whole_millis
+from runmend.operators.joins import is_small, keep_keys
 from runmend.settings import Settings
 
 # Columns a plan carries when it does not look at error texts.
@@ -36,14 +37,27 @@ def tagged_jobs(job_tags: DataFrame, tags: list[str]) -> DataFrame:
     return job_tags.where(F.col("tag").isin(tags)).select("job_id").distinct()
 
 
+def started_since(runs: DataFrame, start: Column) -> DataFrame:
+    """Runs that started at or after ``start``. A table partitioned by ``run_date``, the
+    UTC day of the start, is read from that day on."""
+    since = runs.where(F.col("start_time") >= start)
+    return dated_since(since, start)
+
+
+def dated_since(rows: DataFrame, start: Column) -> DataFrame:
+    """Rows from the day of ``start`` on, where the table has a ``run_date``."""
+    if "run_date" not in rows.columns:
+        return rows
+    return rows.where(F.col("run_date") >= F.to_date(start))
+
+
 def failed_runs(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("result_state") == fixed.FAILED)
 
 
 def within_lookback(runs: DataFrame, as_of: datetime, settings: Settings) -> DataFrame:
     """Runs that started at or after ``as_of`` minus the lookback."""
-    return runs.where(
-        F.col("start_time") >= instant_like(as_of, runs, "start_time", settings.lookback))
+    return started_since(runs, instant_like(as_of, runs, "start_time", settings.lookback))
 
 
 def newest_per_job(runs: DataFrame, limit: int | None) -> DataFrame:
@@ -96,6 +110,28 @@ def job_activity(runs: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def runs_that_matter(
+    runs: DataFrame, first_failure: Column, rows: DataFrame, settings: Settings, small: bool,
+) -> DataFrame:
+    """The runs that decide the activity of the jobs of ``rows``, which all failed at or
+    after ``first_failure``.
+
+    Runs since then keep their rank among the newest. An older run cannot be a newer
+    success; it matters only when it is still active, and then all runs of its job are
+    needed to rank it. Old active runs are rare, so the history is read for the few
+    jobs that have one, and not at all when there is none.
+    """
+    runs = runs.select(STATE_COLUMNS + [c for c in ("run_date",) if c in runs.columns])
+    if small:
+        # Few rows name few jobs: the runs of other jobs go no further than the scan.
+        runs = keep_keys(runs, rows, "job_id", small=True)
+    recent = started_since(runs, first_failure)
+    older = runs.where(F.col("start_time") < first_failure)
+    lasting = older.where(F.col("life_cycle_state").isin(fixed.ACTIVE_STATES)).select("job_id").distinct()
+    few = small or is_small(lasting, settings)
+    return recent.unionByName(keep_keys(older, lasting, "job_id", few))
+
+
 def is_newer_success(last_success_at: Column, first_failed_at: Column) -> Column:
     """Strictly newer, in whole milliseconds; false when the job has no success."""
     return F.coalesce(

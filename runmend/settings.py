@@ -24,6 +24,9 @@ class Settings:
     # transition into permanent_no_action.
     notify_on: str = "all"
 
+    # How far the clock that dates incidents may be ahead of the one that dates runs.
+    clock_margin: timedelta = timedelta(days=1)
+
     # A side of a join is broadcast only when its row count, measured or proven from
     # a measured count, is at most this. Only keys and short columns are broadcast.
     broadcast_rows: int = 500_000

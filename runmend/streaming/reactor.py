@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from runmend.functions.clock import instant
+from runmend.functions.clock import instant, instant_like
 from runmend.operators import joins
 from runmend.operators.detect import (
     event_failures, is_valid_event, untracked, with_error_text, within_lookback)
@@ -49,9 +49,13 @@ def react_to_runs(
     def track(batch_rows: DataFrame, number: int) -> None:
         batch, as_of = Batch(writer, number), clock(number)
         rows = within_lookback(batch_rows, as_of, settings) if only_recent else batch_rows
-        found = untracked(rows, store.known_run_ids(without=batch)).drop("life_cycle_state", "result_state")
-        found = found.checkpoint()
-        texts = with_error_text(found, run_outputs(), settings, joins.is_small(found, settings))
+        rows = rows.drop("life_cycle_state", "result_state").checkpoint()
+        small, first = joins.measure(rows, "start_time", settings)
+        if first is None:
+            return
+        found = untracked(rows, store.known_run_ids(without=batch), small)
+        since = instant_like(first, rows, "start_time")
+        texts = with_error_text(found, run_outputs(), settings, small, since)
         track_failures(store, texts, jobs(), batch, as_of, judge)
 
     return (
@@ -76,7 +80,9 @@ def take_events(
             F.struct("start_time", "job_id", "error_message"))
         reported = event_failures(batch_rows, now).groupBy("run_id").agg(first.alias("_first"))
         reported = reported.select("run_id", "_first.*")
-        found = untracked(reported, store.known_run_ids(without=batch))
+        reported = reported.checkpoint()
+        small = joins.is_small(reported, judge.settings)
+        found = untracked(reported, store.known_run_ids(without=batch), small)
         track_failures(store, found, jobs(), batch, as_of, judge)
         if full_scan is not None and not batch_rows.where(~is_valid_event()).isEmpty():
             full_scan(number)

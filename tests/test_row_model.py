@@ -15,8 +15,9 @@ TEXTS = ["Read timed out", "Table not found", "vague", "", None]
 LABELS = {"Read timed out": "retry_scheduled", "Table not found": "permanent_no_action"}
 
 
-def world(seed, jobs=120):
-    """Jobs with runs and incidents at random times; one job has a third of them all."""
+def world(seed, jobs=120, span=2000):
+    """Jobs with runs at random times of 2000 minutes and incidents of the last ``span``;
+    one job has a third of them all."""
     rng = random.Random(seed)
     runs, outputs, incidents = [], {}, []
 
@@ -39,11 +40,12 @@ def world(seed, jobs=120):
         job = "hot" if i % 3 == 0 else f"j{rng.randrange(jobs)}"
         own = [r[1] for r in runs if r[0] == job]
         first = rng.choice(own) if own and rng.random() < 0.5 else f"gone{i}"
-        latest = rng.choice([r[1] for r in runs] + [f"gone{i}"])
+        failed = NOW - timedelta(minutes=rng.randrange(0, span, 25))
+        latest = rng.choice([r[1] for r in runs if r[2] >= failed] + [f"gone{i}"])
         incidents.append((
             f"i{i:04d}", job, first, latest, "text", "Transient", rng.randrange(5),
             rng.choice(["retry_scheduled", "retry_scheduled", "retried", "resolved"]),
-            NOW - timedelta(minutes=rng.randrange(0, 2000, 25)), NOW - timedelta(minutes=rng.randrange(0, 40, 5)),
+            failed, NOW - timedelta(minutes=rng.randrange(0, 40, 5)),
             [first, latest], None, None, 2))
     return runs, outputs, incidents
 
@@ -103,9 +105,9 @@ def model_outcomes(runs, outputs, incidents):
     return statuses
 
 
-@pytest.fixture(scope="module", params=[1, 2])
+@pytest.fixture(scope="module", params=[(1, 2000), (2, 2000), (3, 300)])
 def tables(spark, request):
-    runs, outputs, incidents = world(request.param)
+    runs, outputs, incidents = world(request.param[0], span=request.param[1])
     frames = (
         spark.createDataFrame(runs, schemas.RUNS),
         spark.createDataFrame([(f"t{r}", e, None) for r, e in outputs.items()], schemas.RUN_OUTPUTS),

@@ -158,6 +158,43 @@ def test_due_rows_of_one_job(spark, bound):
         "d1": "not_due", "d2": "retry", "p1": "resolved", "p2": "skip_in_progress"}
 
 
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_active_run_older_than_every_failure(spark, bound):
+    failed = NOW - 60 * MINUTE
+    table = incidents_table(spark, [incident(name, job=name, failed=failed) for name in ("ninth", "tenth", "done")])
+    rows = [("ninth", "n", failed - 50 * MINUTE, None, "RUNNING"), ("tenth", "t", failed - 50 * MINUTE, None, "RUNNING"),
+            ("done", "d", failed - 50 * MINUTE, "SUCCESS"), ("other", "o", failed - 50 * MINUTE, None, "RUNNING")]
+    for job, newer in (("ninth", 9), ("tenth", 10)):
+        # Some of the newer runs are older than the failure, too.
+        rows += [(job, f"{job}{i}", failed + (i - 5) * MINUTE, "FAILED") for i in range(newer)]
+    plan = retry.plan_retries(table, runs_table(spark, rows), NOW, Settings(broadcast_rows=bound))
+    assert actions(plan) == {"ninth": "skip_in_progress", "tenth": "retry", "done": "retry"}
+
+
+def test_tables_partitioned_by_day(spark, tmp_path):
+    rows = [("a", f"r{day}", NOW - timedelta(days=day), "FAILED") for day in range(5)]
+    rows += [("a", "ok", NOW - timedelta(days=3), "SUCCESS")]
+    runs = runs_table(spark, rows)
+    outputs = runs.selectExpr("tasks[0].run_id AS task_run_id", "concat('Access denied ', run_id) AS error",
+                              "string(null) AS error_trace", "to_date(start_time) AS run_date")
+    runs.selectExpr("*", "to_date(start_time) AS run_date").write.partitionBy("run_date").parquet(str(tmp_path / "runs"))
+    outputs.write.partitionBy("run_date").parquet(str(tmp_path / "outputs"))
+    stored, texts = spark.read.parquet(str(tmp_path / "runs")), spark.read.parquet(str(tmp_path / "outputs"))
+
+    found = detect.detect_new_failures(stored, texts, no_known(spark), NOW)
+    assert {r.run_id: r.error_message for r in found.collect()} == {
+        "r0": "Access denied r0", "r1": "Access denied r1"}
+    scans = [line for line in found._jdf.queryExecution().toString().splitlines() if "FileScan" in line]
+    assert scans and all("run_date" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+
+    table = incidents_table(spark, [
+        incident("x", job="a", failed=NOW - timedelta(days=4)), incident("y", job="a", failed=NOW - timedelta(days=2)),
+        incident("z", job="a", status="retried", latest="r2", retries=1, failed=NOW - timedelta(days=2, hours=1))])
+    assert actions(retry.plan_retries(table, stored, NOW)) == {"x": "resolved", "y": "retry"}
+    (outcome,) = outcomes.check_outcomes(table, stored, texts).collect()
+    assert outcome.error_message == "Access denied r2"
+
+
 def test_requests_are_named_by_attempt(spark):
     table = incidents_table(spark, [incident("x", retries=1)])
     runs = runs_table(spark, [])
