@@ -33,9 +33,10 @@ def parse_response(raw: Column) -> Column:
     parsed = F.from_json(
         F.when(is_json_object(raw), raw),
         "classification string, reasoning string, confidence string", _OPTIONS)
+    # An object parses to a struct, if need be one of nulls.
+    failed = parsed.isNull()
     label = parsed["classification"]
     valid = F.coalesce(label.isin(fixed.LABELS), F.lit(False))
-    failed = ~is_json_object(raw)
     return F.struct(
         F.when(valid, label).otherwise(fixed.UNKNOWN).alias("classification"),
         F.when(failed, fixed.UNPARSED_REASONING)
@@ -66,7 +67,7 @@ def parse_fix(raw: Column, reasoning: Column, call_error: Column | None = None)
         F.array(F.lit(fixed.REVIEW_ERROR_AND_LOGS)).alias("fix_steps"),
         F.lit(fixed.NOT_AVAILABLE).alias("prevention"),
     )
-    answered = F.when(is_json_object(raw), complete).otherwise(unreadable)
+    answered = F.when(parsed.isNotNull(), complete).otherwise(unreadable)
     return answered if call_error is None else F.when(
         call_error.isNotNull(), not_called).otherwise(answered)
 

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from runmend.functions.labels import rule_label, status_for
 from runmend.functions.prompts import CLASSIFICATION_PROMPT, classification_prompt
 from runmend.functions.strict_json import parse_response
-from runmend.operators import joins
 from runmend.session import shared_dir
 from runmend.settings import Settings
 
@@ -99,12 +98,14 @@ def attach_by_text(
     rows = rows.where(F.col(text).isNotNull()).withColumn("_key", F.xxhash64(text))
     found = found.withColumn("_key", F.xxhash64(text))
     on = ["_key", text]
-    if joins.is_small(found, settings):
+    hot_text = F.col("n") > settings.hot_rows
+    sizes = found.agg(F.count("*").alias("texts"), F.count_if(hot_text).alias("hot")).first()
+    if sizes["texts"] <= settings.broadcast_rows:
         found = F.broadcast(found)
     else:
         count = F.ceil(F.max("n") / settings.hot_rows).cast("int")
-        hot = found.where(F.col("n") > settings.hot_rows).groupBy("_key").agg(count.alias("_pieces"))
-        if joins.is_small(hot, settings):
+        hot = found.where(hot_text).groupBy("_key").agg(count.alias("_pieces"))
+        if sizes["hot"] <= settings.broadcast_rows:
             hot = F.broadcast(hot)
         pieces = F.coalesce("_pieces", F.lit(1))
         rows = rows.join(hot, "_key", "left").withColumn(

@@ -515,8 +515,7 @@ def run_cycle(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir):
-    schema = sample.read(spark, sf_dir, "events").schema
-    return stream_table(spark, sf_dir, schema, pathGlobFilter="events.parquet")
+    return stream_table(spark, sf_dir, sample.SCHEMAS["events"], pathGlobFilter="events.parquet")
 
 
 def _finish(writer):

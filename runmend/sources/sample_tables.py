@@ -35,47 +35,43 @@ ERRORS = {
 UNMONITORED_TAG = "MACHINERY"
 
 
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def ntz(value: datetime) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'")
 
 
-def _by_digit(k: Column, values: dict[int, str]) -> Column:
-    chosen = None
-    for digit, value in values.items():
-        hit = k % 10 == digit
-        chosen = F.when(hit, value) if chosen is None else chosen.when(hit, value)
-    return chosen
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def runs_from_events(events: DataFrame) -> DataFrame:
     """runs, with the event's id and number, and the error text as ``raw_error``."""
-    k = F.col("k")
-    kind = F.col("event_type")
-    active = (kind == "view") & (k < 15)
-    return events.select(
-        "event_id", "ts", "user_id", "event_type",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-    ).select(
-        F.col("user_id").cast("string").alias("job_id"),
-        F.col("event_id").cast("string").alias("run_id"),
+    errors = " ".join(f"WHEN {digit} THEN {_sql_text(text)}" for digit, (text, _) in ERRORS.items())
+    return events.selectExpr(
+        "event_id", "ts", "user_id", "event_type", "CAST(get_json_object(props, '$.k') AS int) AS k",
+    ).selectExpr(
+        "CAST(user_id AS string) AS job_id",
+        "CAST(event_id AS string) AS run_id",
         "event_id", "k",
-        F.col("ts").alias("start_time"),
-        F.when((kind == "view") & (k < 10), "RUNNING").when(active, "PENDING")
-        .otherwise("TERMINATED").alias("life_cycle_state"),
-        F.when(active, F.lit(None).cast("string"))
-        .when(kind == "purchase", fixed.SUCCESS)
-        .when((kind == "view") & (k >= 60), fixed.SUCCESS)
-        .when((kind == "signup") & (k < 50), "CANCELED")
-        .when(kind == "signup", "TIMEDOUT")
-        .otherwise(fixed.FAILED).alias("result_state"),
+        "ts AS start_time",
+        "CASE WHEN event_type = 'view' AND k < 10 THEN 'RUNNING'"
+        "     WHEN event_type = 'view' AND k < 15 THEN 'PENDING' ELSE 'TERMINATED' END AS life_cycle_state",
+        "CASE WHEN event_type = 'view' AND k < 15 THEN NULL"
+        "     WHEN event_type = 'purchase' OR event_type = 'view' AND k >= 60 THEN 'SUCCESS'"
+        "     WHEN event_type = 'signup' AND k < 50 THEN 'CANCELED'"
+        "     WHEN event_type = 'signup' THEN 'TIMEDOUT' ELSE 'FAILED' END AS result_state",
         # The last digit 9 stands for a run without tasks.
-        F.when(k % 10 != 9, F.array(F.struct(
-            F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("run_id")))).alias("tasks"),
-        _by_digit(k, {d: text for d, (text, _) in ERRORS.items()}).alias("raw_error"),
+        "CASE WHEN k % 10 <> 9 THEN array(struct(concat('t', event_id) AS run_id)) END AS tasks",
+        f"CASE k % 10 {errors} END AS raw_error",
     )
 
 
@@ -133,26 +129,21 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = _with_next_run(since).where(
         (F.col("result_state") == fixed.FAILED) & (F.col("start_time") < ntz(INCIDENTS_TO)))
     labelled = failed.withColumn("classification", rule_label(F.col("raw_error"))["classification"])
-    transient = F.col("classification") == fixed.TRANSIENT
-    labelled = labelled.withColumn(
-        "retried", transient & (F.col("event_id") % 2 == 1) & F.col("nxt").isNotNull())
-    retried = F.col("retried")
-    return labelled.withColumn(
-        "latest_run_id", F.when(retried, F.col("nxt")).otherwise(F.col("run_id")),
-    ).select(
-        F.col("run_id").alias("tracking_id"),
-        "job_id",
-        F.col("run_id").alias("original_run_id"),
-        "latest_run_id",
-        F.coalesce("raw_error", F.lit(fixed.NO_ERROR_TEXT)).alias("error_message"),
+    return labelled.selectExpr(
+        "*", "classification = 'Transient' AND event_id % 2 = 1 AND nxt IS NOT NULL AS retried",
+    ).selectExpr(
+        "*", "CASE WHEN retried THEN nxt ELSE run_id END AS latest_run_id",
+    ).selectExpr(
+        "run_id AS tracking_id", "job_id", "run_id AS original_run_id", "latest_run_id",
+        f"coalesce(raw_error, '{fixed.NO_ERROR_TEXT}') AS error_message",
         "classification",
-        F.when(retried, 1 + F.col("event_id") % 4).otherwise(0).cast("int").alias("retry_count"),
-        F.when(F.col("classification") == fixed.PERMANENT, fixed.PERMANENT_NO_ACTION)
-        .when(F.col("classification") == fixed.UNKNOWN, fixed.UNKNOWN_FLAGGED)
-        .when(retried, fixed.RETRIED).otherwise(fixed.RETRY_SCHEDULED).alias("status"),
-        F.col("start_time").alias("first_failed_at"),
-        (F.col("start_time") + F.expr("INTERVAL 5 MINUTES")).alias("last_updated_at"),
-        F.array_distinct(F.array("run_id", "latest_run_id")).alias("all_run_ids"),
+        "CAST(CASE WHEN retried THEN 1 + event_id % 4 ELSE 0 END AS int) AS retry_count",
+        "CASE WHEN classification = 'Permanent' THEN 'permanent_no_action'"
+        "     WHEN classification = 'Unknown' THEN 'unknown_flagged'"
+        "     WHEN retried THEN 'retried' ELSE 'retry_scheduled' END AS status",
+        "start_time AS first_failed_at",
+        "start_time + INTERVAL 5 MINUTES AS last_updated_at",
+        "array_distinct(array(run_id, latest_run_id)) AS all_run_ids",
     )
 
 

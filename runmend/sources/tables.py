@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType, file_format: str = "parquet", **options: str,
+    spark: SparkSession, path: str, schema: T.StructType | str, file_format: str = "parquet", **options: str,
 ) -> DataFrame:
     """A table of files. Nothing is inferred, so no file is opened before the query."""
     return spark.read.format(file_format).schema(schema).options(**options).load(path)
@@ -25,7 +25,7 @@ def read_table_if_any(spark: SparkSession, path: str, schema: T.StructType) -> D
 
 
 def stream_table(
-    spark: SparkSession, path: str, schema: T.StructType, file_format: str = "parquet", **options: str,
+    spark: SparkSession, path: str, schema: T.StructType | str, file_format: str = "parquet", **options: str,
 ) -> DataFrame:
     """New files of a table as they arrive; the stream's checkpoint remembers which
     files were read."""
