@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runmend.functions.labels import rule_label, status_for
+from runmend.functions.labels import LABEL_COLUMNS, status_for, with_rule_label
 from runmend.functions.prompts import CLASSIFICATION_PROMPT, classification_prompt
 from runmend.functions.strict_json import parse_response
 from runmend.session import shared_dir
@@ -20,16 +20,10 @@ Model = Callable[[list[str]], list[str | None]]
 # A classifier: adds the label columns; they are null for a row without error_message.
 Classifier = Callable[[DataFrame], DataFrame]
 
-LABEL_COLUMNS = ["classification", "reasoning", "confidence", "parse_status", "raw_response"]
-
 
 def classify_by_rules(rows: DataFrame) -> DataFrame:
     """Adds the label columns; no shuffle and no Python."""
-    return (
-        rows.withColumn("_label", F.when(
-            F.col("error_message").isNotNull(), rule_label(F.col("error_message"))))
-        .select(*rows.columns, *[f"_label.{c}" for c in LABEL_COLUMNS])
-    )
+    return with_rule_label(rows, "error_message")
 
 
 def decide(rows: DataFrame) -> DataFrame:

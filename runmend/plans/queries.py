@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runmend import fixed, schemas
 from runmend.functions import strict_json
-from runmend.functions.labels import rule_label, status_for
+from runmend.functions.labels import with_rule_label
 from runmend.functions.messages import notice_time
 from runmend.functions.prompts import classification_prompt, fix_prompt
 from runmend.operators import classify, detect, fixes, incidents as state, joins, notify
@@ -195,8 +195,8 @@ def classify_dedup(spark, sf_dir):
 @query
 def decide_status(spark, sf_dir):
     rows = _failed_with_text(spark, sf_dir)
-    label = rule_label(F.col("error_message"))["classification"]
-    return rows.select("run_id", label.alias("classification"), status_for(label).alias("status"))
+    return classify.decide(with_rule_label(rows, "error_message", only_classification=True)).select(
+        "run_id", "classification", "status")
 
 
 @query

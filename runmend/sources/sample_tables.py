@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runmend import fixed
-from runmend.functions.labels import rule_label
+from runmend.functions.labels import with_rule_label
 
 AS_OF = datetime(2024, 1, 31)
 INCIDENTS_FROM = datetime(2024, 1, 28)
@@ -128,7 +128,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     since = runs(spark, sf_dir).where(F.col("start_time") >= ntz(INCIDENTS_FROM)).drop("tasks")
     failed = _with_next_run(since).where(
         (F.col("result_state") == fixed.FAILED) & (F.col("start_time") < ntz(INCIDENTS_TO)))
-    labelled = failed.withColumn("classification", rule_label(F.col("raw_error"))["classification"])
+    labelled = with_rule_label(failed, "raw_error", only_classification=True)
     return labelled.selectExpr(
         "*", "classification = 'Transient' AND event_id % 2 = 1 AND nxt IS NOT NULL AS retried",
     ).selectExpr(
@@ -230,10 +230,8 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model response per failed run: mostly plain JSON, and the faults seen in
     practice, by the last digit of the run's number divided by ten."""
-    text = F.coalesce("raw_error", F.lit(fixed.NO_ERROR_TEXT))
-    label = rule_label(text)["classification"]
     plain = F.concat(
-        F.lit('{"classification": "'), label,
+        F.lit('{"classification": "'), "classification",
         F.lit('", "reasoning": "read from the text", "confidence": "High"}'))
     kind = F.floor(F.col("k") / 10)
     raw = (
@@ -243,6 +241,8 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.lit('{"reasoning": "no label given"}'))
         .when(kind == 4, F.lit(None).cast("string"))
         .otherwise(plain))
-    return runs(spark, sf_dir).where(F.col("result_state") == fixed.FAILED).select(
-        "run_id", "job_id", text.alias("error_message"), F.col("start_time").alias("called_at"),
+    failed = runs(spark, sf_dir).where(F.col("result_state") == fixed.FAILED).withColumn(
+        "error_message", F.coalesce("raw_error", F.lit(fixed.NO_ERROR_TEXT)))
+    return with_rule_label(failed, "error_message", only_classification=True).select(
+        "run_id", "job_id", "error_message", F.col("start_time").alias("called_at"),
         raw.alias("raw_response"))
