@@ -118,12 +118,13 @@ def model_classifier(
 ) -> Classifier:
     """A classifier that calls ``model`` once per distinct text.
 
-    The responses are written to the shared folder: a lost executor must not make the
-    model answer again, perhaps differently.
+    Rows and responses are written to the shared folder: a lost executor must not make
+    the model answer again, perhaps differently, and rows read twice must be the same.
     """
 
     def classify(rows: DataFrame) -> DataFrame:
         shared_dir(rows.sparkSession)
+        rows = rows.checkpoint()
         texts = distinct_texts(rows).repartition(settings.model_tasks, "error_message")
         asked = texts.withColumn("prompt", classification_prompt(F.col("error_message"), template))
         answered = call_model(asked, "prompt", model, settings).checkpoint()

@@ -56,8 +56,7 @@ def _rule(column: str) -> str:
 
 ERROR_BY_DIGIT = "CASE k % 10 " + " ".join(
     f"WHEN {digit} THEN {text(error)}" for digit, (error, _) in sample.ERRORS.items()) + " END"
-EXPECTED_BY_DIGIT = "CASE k % 10 " + " ".join(
-    f"WHEN {digit} THEN {text(expected)}" for digit, (_, expected) in sample.ERRORS.items()) + " END"
+EXPECTED = ", ".join(f"({text(error)}, {text(expected)})" for error, expected in sample.ERRORS.values())
 
 NEWEST = "ORDER BY start_time DESC, run_id DESC"
 STATE = "job_id, run_id, start_time, life_cycle_state, result_state"
@@ -272,8 +271,8 @@ SELECT job_id, run_id, error_message, start_time FROM detected WHERE raw_error I
         f"SELECT run_id, classification, {status('classification')} AS status FROM labelled"),
     "label_confusion": with_tables("runs labelled", f"""SELECT expected, actual, n,
   CASE WHEN expected = actual THEN 'PASS' ELSE 'FAIL' END AS outcome
-FROM (SELECT {EXPECTED_BY_DIGIT} AS expected, classification AS actual, count(*) AS n
-  FROM labelled WHERE k % 10 < 8 GROUP BY 1, 2)"""),
+FROM (SELECT expected, classification AS actual, count(*) AS n FROM labelled
+  JOIN (VALUES {EXPECTED}) AS e(error_message, expected) USING (error_message) GROUP BY 1, 2)"""),
     "build_prompt": with_tables(
         "runs labelled", f"SELECT run_id, {TEMPLATE} || error_message AS prompt FROM labelled"),
     "build_fix_prompt": with_tables("runs labelled", f"""SELECT run_id,
@@ -411,7 +410,7 @@ FROM judged"""),
     "stream_failure_events": with_tables(
         "runs labelled", f"""SELECT job_id, run_id AS original_run_id,
   error_message, classification, {status('classification')} AS status,
-  CASE WHEN k % 2 = 0 THEN start_time ELSE {AS_OF} END AS first_failed_at,
+  k % 2 <> 0 AS undated, CASE WHEN k % 2 = 0 THEN start_time END AS first_failed_at,
   CASE WHEN classification = 'Permanent' THEN {_fix_part(0)} END AS root_cause
 FROM (SELECT *, {_rule('error_message')} AS rule FROM labelled WHERE raw_error IS NOT NULL)"""),
 }

@@ -7,9 +7,11 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runmend import fixed, schemas
 from runmend.functions import strict_json
+from runmend.functions.clock import instant
 from runmend.functions.labels import with_rule_label
 from runmend.functions.messages import notice_time
 from runmend.functions.prompts import classification_prompt, fix_prompt
@@ -201,12 +203,11 @@ def decide_status(spark, sf_dir):
 
 @query
 def label_confusion(spark, sf_dir):
+    """Rows whose text is one of the labelled errors, which are few at any scale."""
     expected = spark.createDataFrame(
-        [(digit, label) for digit, (_, label) in sample.ERRORS.items()], "digit int, expected string")
-    rows = classify.classify_by_rules(
-        _failed_with_text(spark, sf_dir).withColumn("digit", F.col("k") % 10))
-    # Eight example texts at any scale.
-    return reports.label_confusion(rows.join(F.broadcast(expected), "digit"))
+        list(sample.ERRORS.values()), "error_message string, expected string")
+    rows = classify.classify_by_rules(_failed_with_text(spark, sf_dir))
+    return reports.label_confusion(rows.join(F.broadcast(expected), "error_message"))
 
 
 @query
@@ -543,7 +544,9 @@ def stream_failure_events(spark, sf_dir):
     _finish(take_events(
         events, lambda: sample.jobs(spark, sf_dir), store, lambda number: AS_OF,
         f"{store.root}/checkpoint"))
-    dated = F.col("first_failed_at").cast("timestamp_ntz").alias("first_failed_at")
+    undated = F.col("first_failed_at") == instant(AS_OF, T.TimestampType())
+    own_time = F.when(~undated, F.col("first_failed_at").cast("timestamp_ntz"))
     return store.state().select(
-        "job_id", "original_run_id", "error_message", "classification", "status", dated,
+        "job_id", "original_run_id", "error_message", "classification", "status",
+        undated.alias("undated"), own_time.alias("first_failed_at"),
         F.from_json("fix_suggestion", schemas.FIX)["root_cause"].alias("root_cause"))

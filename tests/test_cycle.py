@@ -6,6 +6,8 @@ import pytest
 
 from runmend import fixed, schemas
 from runmend.operators import reports
+from runmend.operators.classify import model_classifier
+from runmend.operators.fixes import suggest_by_model
 from runmend.plans.cycle import Inputs, Judgement, run_cycle
 from runmend.settings import Settings
 from runmend.sources.store import Batch, TriageStore
@@ -159,6 +161,31 @@ def test_story_of_four_jobs(world):
     assert len(starts) == len(set(starts)) == len(world.runs)
 
 
+def test_pass_with_a_model(world):
+    def labels(prompts):
+        return ['{"classification": "Permanent", "reasoning": "read it", "confidence": "Low"}'
+                if p.endswith("odd text") else "no JSON" for p in prompts]
+
+    def repairs(prompts):
+        if any("JOB ID: b" in p for p in prompts):
+            raise RuntimeError("busy")
+        return ['{"root_cause": "cause", "fix_steps": ["step"], "prevention": "care"}' for _ in prompts]
+
+    settings = Settings(model_tasks=2)
+    judge = Judgement(settings, model_classifier(labels, settings), suggest_by_model(repairs, settings))
+    world.run("a", "1", minutes(-30), "FAILED", "odd text")
+    world.run("b", "2", minutes(-20), "FAILED", "odd text")
+    world.run("b", "3", minutes(-10), "FAILED", TIMEOUT)
+    world.cycle(T0, 1, judge)
+    rows = world.state()
+    assert {k: r.status for k, r in rows.items()} == {
+        "1": "permanent_no_action", "2": "permanent_no_action", "3": "unknown_flagged"}
+    parse = {r.run_id: r.parse_status for r in world.log() if r.event == "classified"}
+    assert parse == {"1": "OK", "2": "OK", "3": "PARSE_FAILED"}
+    fixes = {r.job_id: r.fix_suggestion for r in world.store.notifications().collect()}
+    assert '"root_cause":"cause"' in fixes["a"] and '"root_cause":"read it"' in fixes["b"]
+
+
 def test_stranded_detected_row_is_labelled(world):
     world.run("a", "1", minutes(-30), "FAILED", TIMEOUT)
     world.cycle(T0, 1)
