@@ -23,7 +23,7 @@ from runmend.settings import Settings
 from runmend.sources import sample_tables as sample
 from runmend.sources.sample_tables import AS_OF
 from runmend.sources.store import TriageStore
-from runmend.sources.tables import stream_table
+from runmend.sources.tables import stream_table, written
 from runmend.streaming.reactor import react_to_runs, take_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,13 +356,17 @@ def due_rows_v2(spark, sf_dir):
 
 @query
 def newer_success(spark, sf_dir):
-    rows = retry.newer_success(sample.incidents(spark, sf_dir), sample.runs(spark, sf_dir), SETTINGS)
+    rows = retry.newer_success(_incidents_table(spark, sf_dir), sample.runs(spark, sf_dir), SETTINGS)
     return rows.select("tracking_id", "job_id", "first_failed_at", "last_success_at")
 
 
+def _incidents_table(spark, sf_dir):
+    return written(sample.incidents(spark, sf_dir), "incidents")
+
+
 def _plan(spark, sf_dir):
     return retry.plan_retries(
-        sample.incidents(spark, sf_dir), sample.runs(spark, sf_dir), AS_OF, SETTINGS)
+        _incidents_table(spark, sf_dir), sample.runs(spark, sf_dir), AS_OF, SETTINGS)
 
 
 @query
@@ -372,7 +376,7 @@ def plan_retries(spark, sf_dir):
 
 @query
 def plan_retries_v2(spark, sf_dir):
-    rows = state.current_state(sample.incident_log(spark, sf_dir))
+    rows = written(state.current_state(sample.incident_log(spark, sf_dir)), "state")
     plan = retry.plan_retries(rows, sample.runs(spark, sf_dir), AS_OF, SETTINGS, by_time=True)
     return plan.select("tracking_id", "job_id", "action")
 

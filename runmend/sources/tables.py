@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from runmend.session import scratch_path
+
 
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType | str, file_format: str = "parquet", **options: str,
@@ -24,6 +26,14 @@ def read_table_if_any(spark: SparkSession, path: str, schema: T.StructType) -> D
         return spark.createDataFrame([], schema)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a new table in the shared folder, for rows that a plan reads several
+    times: they are derived once, and their size is known to the optimizer."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return read_table(df.sparkSession, path, df.schema)
+
+
 def stream_table(
     spark: SparkSession, path: str, schema: T.StructType | str, file_format: str = "parquet", **options: str,
 ) -> DataFrame:
