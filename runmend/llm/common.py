@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from runmend.sources.tables import written
 
+#: Up to so many edges, the least neighbours of nodes (16 bytes each) are broadcast.
+BROADCAST_EDGES = 200_000
+
 # Java finds few matches of this in a text whose words stand one space apart.
 _LONG_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -66,7 +69,9 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
 
     Alternates large and small stars, which ends in about log rounds; each round is a
     table in the shared folder. Nothing is collected but one row that tells whether
-    the round changed an edge.
+    the round changed an edge. The centre of a large star has as many edges as its group
+    has nodes: its least neighbour is found with partial sums, and given to the edges by
+    a join whose other side stands alone, so that Spark can split the centre's edges.
     """
     def star(of: DataFrame) -> DataFrame:
         return stored(of.where("a <> b").select(
@@ -75,13 +80,17 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     def mark(of: DataFrame) -> tuple:
         return tuple(of.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
 
+    def beside(of: DataFrame) -> DataFrame:
+        return F.broadcast(of) if now[0] <= BROADCAST_EDGES else stored(of, name)
+
     current = star(edges)
     before, now = None, mark(current)
     while now != before:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+        least = beside(both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("low"))
+        large = large if now[0] <= BROADCAST_EDGES else stored(large, name)
+        lowest = beside(large.groupBy("a").agg(F.min("b").alias("low")))
         small = large.join(lowest, "a").select(
             F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
         current = star(small)
