@@ -181,9 +181,10 @@ class Encoder:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text in place of the text. Nothing is shuffled."""
+    """``docs`` with the ids of each text in place of the text, and of a column that has the
+    name of the ids. Nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c not in (text_col, ids_col)]
     made: list[Encoder] = []
 
     def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -195,7 +196,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(offsets, pa.array(ids))],
                                           names=[*kept, ids_col])
 
-    rows = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias(text_col))
     schema = rows.drop(text_col).schema.add(ids_col, T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(by_pieces(encoded, text_col), schema)
 
