@@ -112,3 +112,7 @@ LEGAL_TRANSITIONS = [
     (RETRIED, PERMANENT_NO_ACTION),
     (RETRIED, UNKNOWN_FLAGGED),
 ]
+
+# The fields of a model's answers, and the values they may have.
+CLASSIFICATION_FORM = '{"classification": "Transient|Permanent|Unknown", "reasoning": "one sentence explanation", "confidence": "High|Medium|Low"}'
+FIX_FORM = '{"root_cause": "<one sentence>", "fix_steps": ["step 1", "step 2", "step 3"], "prevention": "<one sentence>"}'

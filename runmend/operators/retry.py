@@ -25,10 +25,11 @@ def is_due(incidents: DataFrame, as_of: datetime, settings: Settings) -> Column:
         as_of, incidents, "last_updated_at", settings.retry_delay)
 
 
-def is_due_at(incidents: DataFrame, as_of: datetime) -> Column:
-    """The recorded retry time has come."""
+def is_due_at(incidents: DataFrame, as_of: datetime, settings: Settings) -> Column:
+    """The recorded retry time has come; for rows without one, the delay has passed."""
     return F.coalesce(
-        F.col("next_retry_at") <= instant_like(as_of, incidents, "next_retry_at"), F.lit(False))
+        F.col("next_retry_at") <= instant_like(as_of, incidents, "next_retry_at"),
+        is_due(incidents, as_of, settings))
 
 
 def due_rows(incidents: DataFrame, as_of: datetime, settings: Settings = Settings()) -> DataFrame:
@@ -36,9 +37,9 @@ def due_rows(incidents: DataFrame, as_of: datetime, settings: Settings = Setting
     return scheduled.where(is_due(incidents, as_of, settings))
 
 
-def due_rows_by_time(incidents: DataFrame, as_of: datetime) -> DataFrame:
+def due_rows_by_time(incidents: DataFrame, as_of: datetime, settings: Settings = Settings()) -> DataFrame:
     scheduled = rows_by_status(incidents, fixed.RETRY_SCHEDULED)
-    return scheduled.where(is_due_at(incidents, as_of))
+    return scheduled.where(is_due_at(incidents, as_of, settings))
 
 
 def with_job_activity(rows: DataFrame, runs: DataFrame, settings: Settings) -> tuple[DataFrame, bool]:
@@ -71,7 +72,7 @@ def plan_retries(
     new run blocks the others. That row is a minimum per job, combined before the
     shuffle, so a job with very many incidents is not ranked in one task.
     """
-    due = is_due_at(incidents, as_of) if by_time else is_due(incidents, as_of, settings)
+    due = is_due_at(incidents, as_of, settings) if by_time else is_due(incidents, as_of, settings)
     scheduled = rows_by_status(incidents, fixed.RETRY_SCHEDULED).select(
         "tracking_id", "job_id", "first_failed_at", due.alias("due"),
         *[c for c in ("version", "retry_count") if c in incidents.columns])

@@ -39,16 +39,17 @@ def tagged_jobs(job_tags: DataFrame, tags: list[str]) -> DataFrame:
 
 def started_since(runs: DataFrame, start: Column) -> DataFrame:
     """Runs that started at or after ``start``. A table partitioned by ``run_date``, the
-    UTC day of the start, is read from that day on."""
+    UTC day of the start, is read from about that day on."""
     since = runs.where(F.col("start_time") >= start)
     return dated_since(since, start)
 
 
 def dated_since(rows: DataFrame, start: Column) -> DataFrame:
-    """Rows from the day of ``start`` on, where the table has a ``run_date``."""
+    """Rows from the day of ``start`` on, where the table has a ``run_date``. The day is
+    taken in the session's zone, which is a day ahead of UTC at most."""
     if "run_date" not in rows.columns:
         return rows
-    return rows.where(F.col("run_date") >= F.to_date(start))
+    return rows.where(F.col("run_date") >= F.date_sub(F.to_date(start), 1))
 
 
 def failed_runs(runs: DataFrame) -> DataFrame:

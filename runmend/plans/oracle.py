@@ -87,7 +87,7 @@ CTES = {
   FROM (SELECT *, classification = 'Transient' AND event_id % 2 = 1 AND nxt IS NOT NULL AS retried
     FROM (SELECT *, {label('raw_error')} AS classification,
         lead(run_id) OVER (PARTITION BY job_id ORDER BY start_time, event_id) AS nxt FROM runs)
-    WHERE result_state = 'FAILED' AND start_time >= TIMESTAMP '2024-01-28 00:00:00'
+    WHERE result_state = 'FAILED'
       AND start_time < TIMESTAMP '2024-01-30 12:00:00'))""",
     "known": "known AS (SELECT DISTINCT unnest(all_run_ids) AS run_id FROM incidents)",
     "detected": f"""detected AS (
@@ -146,7 +146,7 @@ CTES = {
          WHEN date_trunc('millisecond', a.last_success_at) > date_trunc('millisecond', i.first_failed_at)
            THEN 'resolved'
          WHEN a.in_progress THEN 'skip_in_progress' ELSE 'free' END AS verdict
-  FROM (SELECT *, coalesce(next_retry_at <= {AS_OF}, FALSE) AS due FROM state
+  FROM (SELECT *, coalesce(next_retry_at <= {AS_OF}, last_updated_at <= {AS_OF} - INTERVAL 15 MINUTE) AS due FROM state
         WHERE status = 'retry_scheduled') i LEFT JOIN activity a ON a.job_id = i.job_id)""",
     "plan": """plan AS (
   SELECT tracking_id, job_id, retry_count,
@@ -276,9 +276,9 @@ FROM (SELECT expected, classification AS actual, count(*) AS n FROM labelled
     "build_prompt": with_tables(
         "runs labelled", f"SELECT run_id, {TEMPLATE} || error_message AS prompt FROM labelled"),
     "build_fix_prompt": with_tables("runs labelled", f"""SELECT run_id,
-  'A data-processing job failed and will not be run again as it is.' || chr(10) || chr(10) || 'JOB ID: '
+  'This failure was judged not to go away by itself.' || chr(10) || chr(10) || 'Job '
   || CASE WHEN k % 3 <> 0 THEN job_id ELSE 'unknown' END
-  || chr(10) || 'ERROR MESSAGE: ' || error_message || chr(10) || 'CLASSIFICATION REASONING: '
+  || ' stopped with this error:' || chr(10) || error_message || chr(10) || chr(10) || 'Why it was judged so:' || chr(10)
   || CASE WHEN k % 2 = 0 THEN 'seen in {{run}} ' || run_id ELSE '' END
   || {text(prompts.FIX_ANSWER)} AS prompt
 FROM labelled""".replace("{{", "{").replace("}}", "}")),
@@ -337,7 +337,7 @@ WHERE coalesce(from_status, '') || '>' || to_status NOT IN ("""
   epoch_us({AS_OF}) - epoch_us(last_updated_at) AS waited_micros FROM incidents
 WHERE status = 'retry_scheduled' AND {AS_OF} - last_updated_at >= INTERVAL 15 MINUTE"""),
     "due_rows_v2": with_tables(STATE_LOG, f"""SELECT tracking_id, job_id, next_retry_at FROM state
-WHERE status = 'retry_scheduled' AND next_retry_at <= {AS_OF}"""),
+WHERE status = 'retry_scheduled' AND coalesce(next_retry_at <= {AS_OF}, last_updated_at <= {AS_OF} - INTERVAL 15 MINUTE)"""),
     "newer_success": with_tables("runs incidents top10 activity", """
 SELECT i.tracking_id, i.job_id, i.first_failed_at, a.last_success_at
 FROM incidents i JOIN activity a ON a.job_id = i.job_id

@@ -17,7 +17,6 @@ from runmend import fixed
 from runmend.functions.labels import with_rule_label
 
 AS_OF = datetime(2024, 1, 31)
-INCIDENTS_FROM = datetime(2024, 1, 28)
 INCIDENTS_TO = datetime(2024, 1, 30, 12)
 
 # Error text by the last digit of the event's number; the others have none.
@@ -124,9 +123,8 @@ def _with_next_run(rows: DataFrame) -> DataFrame:
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed runs of the days before ``AS_OF`` as incidents in all live states."""
-    since = runs(spark, sf_dir).where(F.col("start_time") >= ntz(INCIDENTS_FROM)).drop("tasks")
-    failed = _with_next_run(since).where(
+    """All failed runs before ``INCIDENTS_TO`` as incidents in all live states."""
+    failed = _with_next_run(runs(spark, sf_dir).drop("tasks")).where(
         (F.col("result_state") == fixed.FAILED) & (F.col("start_time") < ntz(INCIDENTS_TO)))
     labelled = with_rule_label(failed, "raw_error", only_classification=True)
     return labelled.selectExpr(

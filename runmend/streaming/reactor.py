@@ -27,11 +27,15 @@ def _lookback(settings: Settings) -> str:
     return f"{int(settings.lookback.total_seconds())} seconds"
 
 
+def failed_in(runs: DataFrame) -> DataFrame:
+    return failed_runs(scan_runs(runs)).withColumn("start_time", F.col("start_time").cast("timestamp"))
+
+
 def failed_once(runs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Failed runs of a stream, each run id once. State is dropped when the watermark,
-    one lookback behind, passes it."""
-    failed = failed_runs(scan_runs(runs)).withColumn("start_time", F.col("start_time").cast("timestamp"))
-    return failed.withWatermark("start_time", _lookback(settings)).dropDuplicatesWithinWatermark(["run_id"])
+    one lookback behind, passes it; so are runs older than that, which are too old to be
+    tracked where only recent ones are."""
+    return failed_in(runs).withWatermark("start_time", _lookback(settings)).dropDuplicatesWithinWatermark(["run_id"])
 
 
 def react_to_runs(
@@ -42,14 +46,16 @@ def react_to_runs(
     """A writer that tracks failed runs as they arrive. Start it with a trigger of choice.
 
     Tracked run ids, outputs and jobs are read anew in every micro-batch: a side table
-    joined into the stream's plan would stay as it was when the stream started.
+    joined into the stream's plan would stay as it was when the stream started. With
+    ``only_recent`` off, runs count however late they come: there is no watermark, and
+    repeats are told by the run ids of the micro-batch and those tracked.
     """
     settings = judge.settings
 
     def track(batch_rows: DataFrame, number: int) -> None:
         batch, as_of = Batch(writer, number), clock(number)
         rows = within_lookback(batch_rows, as_of, settings) if only_recent else batch_rows
-        rows = rows.drop("life_cycle_state", "result_state").checkpoint()
+        rows = rows.drop("life_cycle_state", "result_state").dropDuplicates(["run_id"]).checkpoint()
         small, first = joins.measure(rows, "start_time", settings)
         if first is None:
             return
@@ -59,7 +65,7 @@ def react_to_runs(
         track_failures(store, texts, jobs(), batch, as_of, judge)
 
     return (
-        failed_once(runs, settings).writeStream.foreachBatch(track)
+        (failed_once(runs, settings) if only_recent else failed_in(runs)).writeStream.foreachBatch(track)
         .option("checkpointLocation", checkpoint)
     )
 

@@ -88,7 +88,7 @@ def test_model_with_wrong_number_of_answers_fails(spark):
 
 def test_fixes_by_model(spark):
     def model(prompts):
-        if any("JOB ID: bad" in p for p in prompts):
+        if any("Job bad stopped" in p for p in prompts):
             raise RuntimeError("no capacity")
         return ['{"root_cause": "c", "fix_steps": ["x"], "prevention": "p"}' for _ in prompts]
 
@@ -110,7 +110,7 @@ def test_prompts_keep_texts_as_they_are(spark):
         classification_prompt(F.col("t")).alias("c"), classification_prompt(F.col("t"), "own: ").alias("own"),
         fix_prompt(F.col("t"), F.col("j"), F.col("r")).alias("f")).first()
     assert row.c == CLASSIFICATION_PROMPT + text and row.own == "own: " + text
-    assert f"ERROR MESSAGE: {text}\n" in row.f and "JOB ID: unknown\n" in row.f
+    assert f"error:\n{text}\n" in row.f and "Job unknown stopped" in row.f
     for example, label in fixed.PROMPT_EXAMPLES:
         assert f'Error: "{example}"\nClassification: {label}\n' in row.c
 

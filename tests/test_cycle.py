@@ -167,7 +167,7 @@ def test_pass_with_a_model(world):
                 if p.endswith("odd text") else "no JSON" for p in prompts]
 
     def repairs(prompts):
-        if any("JOB ID: b" in p for p in prompts):
+        if any("Job b stopped" in p for p in prompts):
             raise RuntimeError("busy")
         return ['{"root_cause": "cause", "fix_steps": ["step"], "prevention": "care"}' for _ in prompts]
 
