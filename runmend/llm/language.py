@@ -159,8 +159,8 @@ class Languages:
 
 def build(samples: dict[str, list[str]], letters_each: int = LETTERS, letters_all: int = ALL_LETTERS) -> Languages:
     """``samples``: texts of each language. The most frequent code points get a symbol of
-    their own, the others share one. A symbol that a language's text lacks ends a phrase
-    and leaves the parse at the start."""
+    their own, the others share one. A symbol that a language's text lacks leads from the
+    start to a state without a way on, and so is a phrase of its own."""
     names = sorted(samples)
     each = min(letters_each, letters_all // max(len(names), 1))
     parts = [letters(samples[name])[0][:each] for name in names]
@@ -173,7 +173,8 @@ def build(samples: dict[str, list[str]], letters_each: int = LETTERS, letters_al
     tables, starts, offset = [], [], 0
     for part in parts:
         own = suffix_automaton(np.where(part < 0x10000, symbol_of[np.minimum(part, 0xFFFF)], SYMBOLS - 1), SYMBOLS)
-        own[0][own[0] < 0] = 0
+        own = np.concatenate([own, np.full((1, SYMBOLS), -1, np.int32)])
+        own[0][own[0] < 0] = len(own) - 1
         tables.append(np.where(own >= 0, own + offset, -1).astype(np.int32))
         starts.append(offset)
         offset += len(own)
