@@ -1,4 +1,5 @@
-"""Licence scans: lines and paragraphs against licence templates by Dice over word bigrams.
+"""Licence scans: lines, paragraphs and word windows against licence templates by Dice over
+word bigrams.
 
 A unit of text is a line, or a paragraph of several lines (a whole notice). It is
 normalised to lower-case words. With ``a`` and ``b`` different bigrams, Dice is at most
@@ -6,8 +7,16 @@ normalised to lower-case words. With ``a`` and ``b`` different bigrams, Dice is
 own, and units near no template's size are left before their bigrams are made. A match
 also shares so many bigrams with its template that it must have one of any few too many
 to miss; a pattern of a long word from each of those sorts out texts and units without
-any, and loses no match. All of it is one projection over the scan: nothing is shuffled,
-grouped or collected. The best template of each unit counts.
+any, and loses no match. The best template of each unit counts.
+
+A notice may share its line or paragraph with other words. The words outside of matching
+units, over the whole text, are therefore compared window by window: from each shared
+bigram to each later one, within the template's size bounds. Such a window is the best of
+many, so it counts from the threshold on only where it ends on the template's last two
+words, else from ``SURE`` on; of windows that overlap the best counts. All of it is one
+projection over the scan: nothing is shuffled, grouped or collected.
+
+A line without a letter or digit (comment marks, ``\\r``) ends a paragraph.
 
 Defined cases: null and empty texts, and units of fewer than two words, match nothing; of
 templates with equal Dice the first by name and text is the best; repeated rows give
@@ -18,12 +27,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.7
+#: Least Dice coefficient of a window that does not end as its template does.
+SURE = 0.9
 
 # The wording of public licence notices.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -65,6 +77,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 _NO_WORD = r"[^\p{L}\p{N}]+"
+_BLANK_LINE = r"\n[^\n\p{L}\p{N}]*\n"
+_MATCHES = "array<struct<less:double,order:int,license:string,start:int,stop:int>>"
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -102,37 +116,107 @@ def _anchor_pattern(templates, threshold: float) -> str:
     return "(?:^|[^a-z0-9])(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_first.items()) + ")"
 
 
+def _with(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _clean(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, _NO_WORD, " "))
+
+
+def _less(bigrams: Column, template: Column) -> Column:
+    return -(2.0 * F.size(F.array_intersect(bigrams, template["bigrams"])) / (F.size(bigrams) + F.size(template["bigrams"])))
+
+
+def _window_matches(bigrams: Column, listed: Column, every: Column, threshold: float) -> Column:
+    """The best windows, none over another, of a text's bigrams in order. A window starts and
+    stops with a shared bigram, as its Dice only falls when others are added at its ends."""
+    def windows(t: Column) -> Column:
+        places = F.filter(F.transform(bigrams, lambda b, i: F.when(F.array_contains(t["bigrams"], b), i)), lambda i: i.isNotNull())
+
+        def from_start(hits: Column, start: Column) -> Column:
+            stops = F.filter(hits, lambda stop: (stop - start).between(t["need"] - 1, t["span"] - 1))
+            return F.transform(stops, lambda stop: F.struct(
+                _with(F.array_distinct(F.slice(bigrams, start + 1, stop - start + 1)), lambda w: _less(w, t)).alias("less"),
+                t["order"].alias("order"), t["license"].alias("license"), start.alias("start"), stop.alias("stop")))
+
+        def found(hits: Column) -> Column:
+            starts = F.filter(hits, lambda start, k: F.coalesce(F.get(hits, k + t["need"] - 1) - start < t["span"], F.lit(False)))
+            return F.filter(F.flatten(F.transform(starts, lambda start: from_start(hits, start))), lambda m: (m["less"] <= -threshold) & (
+                (m["less"] <= -max(SURE, threshold)) | (F.get(bigrams, m["stop"]) == t["last"])))
+
+        return _with(places, found)
+
+    def apart(kept: Column, m: Column) -> Column:
+        over = F.exists(kept, lambda k: (k["start"] <= m["stop"] + 1) & (m["start"] <= k["stop"] + 1))
+        return F.when(over, kept).otherwise(F.concat(kept, F.array(m)))
+
+    def near(present: Column) -> Column:
+        return F.filter(listed, lambda t: F.size(F.array_intersect(t["bigrams"], present)) >= t["need"])
+
+    candidates = F.flatten(F.transform(_with(F.array_intersect(bigrams, every), near), windows)).cast(_MATCHES)
+    kept = F.aggregate(F.array_sort(candidates), F.array().cast(_MATCHES), apart)
+    return F.transform(kept, lambda m: F.struct(m["less"].alias("less"), m["order"].alias("order"), m["license"].alias("license")))
+
+
 def license_matches(lowered: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """The best match of each unit of a text in lower case: an array of ``less`` (the
-    negated Dice coefficient), ``order`` and ``license``."""
+    """The best match of each unit of a text in lower case, and of the windows outside of
+    those: an array of ``less`` (the negated Dice coefficient), ``order`` and ``license``."""
     known = _templates(templates, threshold)
-    listed = F.array(*(F.struct(F.lit(order).alias("order"), F.lit(name).alias("license"), F.array(*map(F.lit, bigrams)).alias("bigrams"),
-                                F.lit(low).alias("low"), F.lit(high).alias("high")) for order, (name, bigrams, low, high) in enumerate(known)))
+    ends = [words for _, text in sorted(templates) if len(words := re.findall(r"[^\W_]+", text.lower())) > 1]
+    listed = F.array(*(F.struct(
+        F.lit(order).alias("order"), F.lit(name).alias("license"), F.array(*map(F.lit, bigrams)).alias("bigrams"), F.lit(low).alias("low"),
+        F.lit(high).alias("high"), F.lit(max(1, math.ceil(threshold * (low + len(bigrams)) / 2 - 1e-9))).alias("need"),
+        F.lit(high + len(words) - 1 - len(bigrams)).alias("span"), F.lit(" ".join(words[-2:])).alias("last"))
+        for order, ((name, bigrams, low, high), words) in enumerate(zip(known, ends))))
+    every = F.array(*map(F.lit, dict.fromkeys(b for _, bigrams, *_ in known for b in bigrams)))
     most = max(high for *_, high in known)
     least = min(low for *_, low, _ in known)
     anchors = _anchor_pattern(templates, threshold)
-    paragraphs = F.filter(F.split(lowered, r"\n[\x20\t]*\n", -1), lambda p: p.contains("\n"))
-    units = F.filter(F.concat(F.split(lowered, "\n", -1), paragraphs), lambda u: u.rlike(anchors))
-    clean = F.transform(units, lambda u: F.trim(F.regexp_replace(u, _NO_WORD, " ")))
-    spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
-    # A unit has as many bigrams as spaces, fewer different ones.
-    words = F.transform(F.filter(clean, lambda u: spaces(u) >= max(least, 1)), lambda u: F.split(u, " "))
-    pairs = F.transform(words, lambda w: F.array_distinct(F.zip_with(
-        F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
-    sized = F.filter(pairs, lambda b: F.size(b).between(least, most))
+    nothing = F.array().cast("array<struct<less:double,order:int,license:string>>")
 
     def against(bigrams: Column) -> Column:
         near = F.filter(listed, lambda t: F.size(bigrams).between(t["low"], t["high"]))
-        dice = lambda t: 2.0 * F.size(F.array_intersect(bigrams, t["bigrams"])) / (F.size(bigrams) + F.size(t["bigrams"]))
-        scored = F.transform(near, lambda t: F.struct((-dice(t)).alias("less"), t["order"].alias("order"), t["license"].alias("license")))
+        scored = F.transform(near, lambda t: F.struct(_less(bigrams, t).alias("less"), t["order"].alias("order"), t["license"].alias("license")))
         return F.slice(F.array_sort(F.filter(scored, lambda m: m["less"] <= -threshold)), 1, 1)
 
-    return F.flatten(F.transform(sized, against))
+    def of_words(clean: Column) -> Column:
+        # A unit has as many bigrams as spaces, fewer different ones.
+        spaces = F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit("")))
+        pairs = F.when(spaces >= max(least, 1), F.array_distinct(_pairs(F.split(clean, " "))))
+        return _with(pairs, lambda b: F.when(F.size(b).between(least, most), against(b)).otherwise(nothing))
+
+    def of_unit(unit: Column) -> Column:
+        return F.when(unit.rlike(anchors), _with(_clean(unit), of_words)).otherwise(nothing)
+
+    def of_paragraph(paragraph: Column) -> Column:
+        lines = F.transform(F.split(paragraph, "\n", -1), lambda u: F.struct(u.alias("text"), of_unit(u).alias("found")))
+        return F.struct(lines.alias("lines"), F.when(paragraph.contains("\n"), of_unit(paragraph)).otherwise(nothing).alias("found"))
+
+    def outside(paragraph: Column) -> Column:
+        lines = F.transform(paragraph["lines"], lambda u: F.when(F.size(u["found"]) > 0, "|").otherwise(u["text"]))
+        return F.when(F.size(paragraph["found"]) > 0, "|").otherwise(F.array_join(lines, "\n"))
+
+    def of_rest(rest: Column) -> Column:
+        words = F.split(F.trim(F.regexp_replace(rest, r"[^\p{L}\p{N}|]+", " ")), " ")
+        return F.when(rest.rlike(anchors), _with(_pairs(words), lambda b: _window_matches(b, listed, every, threshold))).otherwise(nothing)
+
+    def of_text(paragraphs: Column) -> Column:
+        units = F.transform(paragraphs, lambda p: F.concat(F.flatten(p["lines"]["found"]), p["found"]))
+        return F.concat(F.flatten(units), _with(F.array_join(F.transform(paragraphs, outside), "\n"), of_rest))
+
+    return F.when(lowered != "", _with(F.transform(F.split(lowered, _BLANK_LINE, -1), of_paragraph), of_text)).otherwise(nothing)
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``license`` (the best), ``dice``, ``licenses`` (of all units, by
-    name) and ``n_units`` (matching lines and paragraphs) for every row."""
+    name) and ``n_units`` (matching lines and paragraphs, and windows outside of those) for
+    every row."""
     lowered = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("low"))
     worth = lowered.withColumn("low", F.when(F.col("low").rlike(_anchor_pattern(templates, threshold)), F.col("low")).otherwise(""))
     found = worth.select("doc_id", license_matches(F.col("low"), templates, threshold).alias("found"))

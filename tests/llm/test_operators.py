@@ -178,6 +178,35 @@ def test_licenses(spark):
     assert all(rows[i].license is None and rows[i].licenses == "" for i in (2, 3, 4))
 
 
+GPL = """/* prog.c: a tool of many parts for those who like tools, written over the years
+ * Copyright (C) 2020 John Doe and the others who are named in the list of authors
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.{end}
+ * This program is distributed in the hope that it will be useful, but WITHOUT ANY
+ * WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+ * PARTICULAR PURPOSE. See the GNU General Public License for more details.
+ */"""
+
+
+def test_licenses_among_other_words(spark):
+    texts = {
+        1: "Released under the MIT License. Copyright 2020 John Doe.",
+        2: GPL.format(end="").replace("\n *\n", "\n"), 3: GPL.format(end="\n *"), 4: GPL.format(end="\n *").replace("\n", "\r\n"),
+        5: "Some code here, released under\nthe MIT License. More words follow. Licensed under CC BY 4.0. And more of them",
+        6: "we permit use, but the public permission to license it under the general terms is free " * 40,
+        7: "Released under the MIT License.\n" + "word " * 2000 + "released under the BSD License by all of us"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert (rows[1].license, rows[1].dice, rows[1].n_units) == ("MIT", 1.0, 1)
+    assert [(rows[i].licenses, rows[i].dice, rows[i].n_units) for i in (2, 3, 4)] == [("GPL-3.0", 1.0, 1)] * 3
+    assert (rows[5].licenses, rows[5].n_units) == ("CC-BY-4.0,MIT", 2)
+    assert rows[6].license is None and rows[6].n_units == 0
+    assert (rows[7].licenses, rows[7].n_units) == ("BSD,MIT", 2)  # a line that matches is not found again by a window
+
+
 def test_languages(spark):
     samples = {"x": ["abcabcabd abd"], "y": ["xyzxyz zyx"]}
     model = language.build(samples)
