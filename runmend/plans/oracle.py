@@ -413,4 +413,11 @@ FROM judged"""),
   k % 2 <> 0 AS undated, CASE WHEN k % 2 = 0 THEN start_time END AS first_failed_at,
   CASE WHEN classification = 'Permanent' THEN {_fix_part(0)} END AS root_cause
 FROM (SELECT *, {_rule('error_message')} AS rule FROM labelled WHERE raw_error IS NOT NULL)"""),
+    "stream_failure_events_scanned": with_tables(
+        "runs labelled", f"""SELECT job_id, run_id AS original_run_id,
+  error_message, classification, {status('classification')} AS status,
+  raw_error IS NOT NULL AND k % 2 <> 0 AS undated,
+  CASE WHEN raw_error IS NULL OR k % 2 = 0 THEN start_time END AS first_failed_at,
+  CASE WHEN classification = 'Permanent' THEN {_fix_part(0)} END AS root_cause
+FROM (SELECT *, {_rule('error_message')} AS rule FROM labelled)"""),
 }

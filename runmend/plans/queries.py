@@ -24,7 +24,7 @@ from runmend.sources import sample_tables as sample
 from runmend.sources.sample_tables import AS_OF
 from runmend.sources.store import TriageStore
 from runmend.sources.tables import stream_table, written
-from runmend.streaming.reactor import react_to_runs, take_events
+from runmend.streaming.reactor import react_to_runs, scan_runs_table, take_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings()
@@ -540,17 +540,31 @@ def stream_runs(spark, sf_dir):
         "job_id", "original_run_id", "error_message", "classification", "status")
 
 
-@query
-def stream_failure_events(spark, sf_dir):
-    """All failure events read as a stream; the notices it leaves and their incidents."""
+def _taken_events(spark, sf_dir, with_scan):
     store = TriageStore(spark, scratch_path(spark, "intake"))
     events = sample.failure_events_from_runs(sample.runs_from_events(_event_stream(spark, sf_dir)))
+    jobs = lambda: sample.jobs(spark, sf_dir)
+    scan = scan_runs_table(
+        lambda: sample.runs(spark, sf_dir), lambda: sample.run_outputs(spark, sf_dir), jobs, store,
+        lambda number: AS_OF) if with_scan else None
     _finish(take_events(
-        events, lambda: sample.jobs(spark, sf_dir), store, lambda number: AS_OF,
-        f"{store.root}/checkpoint"))
+        events, jobs, store, lambda number: AS_OF, f"{store.root}/checkpoint", full_scan=scan))
     undated = F.col("first_failed_at") == instant(AS_OF, T.TimestampType())
     own_time = F.when(~undated, F.col("first_failed_at").cast("timestamp_ntz"))
     return store.state().select(
         "job_id", "original_run_id", "error_message", "classification", "status",
         undated.alias("undated"), own_time.alias("first_failed_at"),
         F.from_json("fix_suggestion", schemas.FIX)["root_cause"].alias("root_cause"))
+
+
+@query
+def stream_failure_events(spark, sf_dir):
+    """All failure events read as a stream; the notices it leaves and their incidents. Events
+    that lack a field are left to a full scan, which this query does not run."""
+    return _taken_events(spark, sf_dir, with_scan=False)
+
+
+@query
+def stream_failure_events_scanned(spark, sf_dir):
+    """The same, where events that lack a field start a full scan: every failed run."""
+    return _taken_events(spark, sf_dir, with_scan=True)

@@ -38,6 +38,22 @@ def failed_once(runs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return failed_in(runs).withWatermark("start_time", _lookback(settings)).dropDuplicatesWithinWatermark(["run_id"])
 
 
+def _track_runs(
+    store: TriageStore, failed: DataFrame, run_outputs: DataFrame, jobs: DataFrame, batch: Batch,
+    as_of: datetime, judge: Judgement,
+) -> None:
+    """Tracks failed runs that are not tracked, each run id once."""
+    settings = judge.settings
+    rows = failed.drop("life_cycle_state", "result_state").dropDuplicates(["run_id"]).checkpoint()
+    small, first = joins.measure(rows, "start_time", settings)
+    if first is None:
+        return
+    found = untracked(rows, store.known_run_ids(without=batch), small)
+    since = instant_like(first, rows, "start_time")
+    texts = with_error_text(found, run_outputs, settings, small, since)
+    track_failures(store, texts, jobs, batch, as_of, judge)
+
+
 def react_to_runs(
     runs: DataFrame, run_outputs: Callable[[], DataFrame], jobs: Callable[[], DataFrame],
     store: TriageStore, clock: Clock, checkpoint: str, judge: Judgement = Judgement(),
@@ -55,14 +71,7 @@ def react_to_runs(
     def track(batch_rows: DataFrame, number: int) -> None:
         batch, as_of = Batch(writer, number), clock(number)
         rows = within_lookback(batch_rows, as_of, settings) if only_recent else batch_rows
-        rows = rows.drop("life_cycle_state", "result_state").dropDuplicates(["run_id"]).checkpoint()
-        small, first = joins.measure(rows, "start_time", settings)
-        if first is None:
-            return
-        found = untracked(rows, store.known_run_ids(without=batch), small)
-        since = instant_like(first, rows, "start_time")
-        texts = with_error_text(found, run_outputs(), settings, small, since)
-        track_failures(store, texts, jobs(), batch, as_of, judge)
+        _track_runs(store, rows, run_outputs(), jobs(), batch, as_of, judge)
 
     return (
         (failed_once(runs, settings) if only_recent else failed_in(runs)).writeStream.foreachBatch(track)
@@ -70,6 +79,19 @@ def react_to_runs(
     )
 
 
+def scan_runs_table(
+    runs: Callable[[], DataFrame], run_outputs: Callable[[], DataFrame], jobs: Callable[[], DataFrame],
+    store: TriageStore, clock: Clock, judge: Judgement = Judgement(), writer: str = "full_scan",
+) -> Callable[[int], None]:
+    """A ``full_scan`` for ``take_events``: tracks every failed run of the table that is not
+    tracked, however old, in the same store. Repeating a number rewrites the same rows."""
+
+    def scan(number: int) -> None:
+        _track_runs(store, failed_in(runs()), run_outputs(), jobs(), Batch(writer, number), clock(number), judge)
+
+    return scan
+
+
 def take_events(
     events: DataFrame, jobs: Callable[[], DataFrame], store: TriageStore, clock: Clock,
     checkpoint: str, judge: Judgement = Judgement(), writer: str = "intake",

@@ -7,7 +7,7 @@ from runmend.settings import Settings
 from runmend.plans.cycle import Judgement
 from runmend.sources.store import TriageStore
 from runmend.sources.tables import stream_table
-from runmend.streaming.reactor import react_to_runs, take_events
+from runmend.streaming.reactor import react_to_runs, scan_runs_table, take_events
 
 NOW = datetime(2024, 5, 2, 12)
 HOUR = timedelta(hours=1)
@@ -90,3 +90,28 @@ def test_runs_tracked_elsewhere_between_batches(spark, tmp_path):
     assert store.events().where("event = 'detected'").count() == 2
     (notice,) = store.notifications().collect()
     assert (notice.notified_user, notice.error_message) == ("desk", "Access denied to 'x'")
+
+
+def test_events_without_a_field_lead_to_their_runs(spark, tmp_path):
+    folder, checkpoint = str(tmp_path / "events"), tmp_path / "checkpoint"
+    store = TriageStore(spark, str(tmp_path / "store"))
+    runs = spark.createDataFrame(
+        [("a", str(i), NOW - 40 * i * HOUR, "TERMINATED", result, [(f"t{i}",)])
+         for i, result in ((1, "FAILED"), (2, "FAILED"), (3, "FAILED"), (4, "SUCCESS"))], schemas.RUNS)
+    outputs = spark.createDataFrame([("t2", "Access denied", None)], schemas.RUN_OUTPUTS)
+    jobs = spark.createDataFrame([("a", "ann")], schemas.JOBS)
+
+    def take():
+        drain(take_events(
+            stream_table(spark, folder, schemas.FAILURE_EVENTS), lambda: jobs, store, lambda number: NOW, str(checkpoint),
+            full_scan=scan_runs_table(lambda: runs, lambda: outputs, lambda: jobs, store, lambda number: NOW)))
+
+    put(spark, folder, [("a", "1", "Read timed out", NOW), ("a", "2", "", NOW), ("a", None, "text", NOW)], schemas.FAILURE_EVENTS)
+    take()
+    rows = {r.original_run_id: r for r in store.state().collect()}
+    assert {k: (r.error_message, r.first_failed_at) for k, r in rows.items()} == {
+        "1": ("Read timed out", NOW), "2": ("Access denied", NOW - 80 * HOUR), "3": (Settings().no_error_text, NOW - 120 * HOUR)}
+    log, notices = sorted(store.events().collect()), store.notifications().count()
+    forget_last_commit(checkpoint)
+    take()
+    assert sorted(store.events().collect()) == log and store.notifications().count() == notices
