@@ -8,7 +8,6 @@ parts have no SQL; tests compare each stage with a brute-force version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from runmend.llm import exact_dedup, mixing, ngram_join, pieces, quality
 from runmend.llm.common import stored, table
@@ -35,8 +34,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of texts."""
-    return pieces.encode(docs, pieces.Vocabulary.read()).withColumn("n_ids", F.size("ids"))
+    """Token ids in place of texts, and whether they decode to the text."""
+    return pieces.encode_and_decode(docs, pieces.Vocabulary.read())
 
 
 STAGES = [

@@ -23,6 +23,7 @@ repeated rows repeat; extra columns are ignored or kept by ``with_ids``.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,6 +182,12 @@ class Encoder:
         return self.ids[places], np.r_[0, ends][word_ends]
 
 
+def _encoded(encoder: Encoder, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """All ids, and offsets of each text's ids that are null where the text is."""
+    ids, ends = encoder.encode(texts.to_pylist())
+    return pa.array(ids), pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[np.asarray(texts.is_null()), False])
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text in place of the text, and of a column that has the
     name of the ids. Nothing is shuffled."""
@@ -191,16 +199,42 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
         if not made:
             made.append(Encoder(shared.value))
         texts = batch.column(text_col)
-        ids, ends = made[0].encode(texts.to_pylist())
-        offsets = pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[np.asarray(texts.is_null()), False])
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(offsets, pa.array(ids))],
-                                          names=[*kept, ids_col])
+        ids, offsets = _encoded(made[0], texts)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(offsets, ids)], names=[*kept, ids_col])
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias(text_col))
     schema = rows.drop(text_col).schema.add(ids_col, T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(by_pieces(encoded, text_col), schema)
 
 
+def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``encode``, and from the ids of each row ``decoded_sha256``, the digest of the text
+    that they decode to, and ``same``, whether it is the row's text. Null decodes to null."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    made = [ids_col, "n_ids", "decoded_sha256", "same"]
+    kept = [c for c in docs.columns if c not in (text_col, *made)]
+    encoders: list[Encoder] = []
+
+    def both(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not encoders:
+            encoders.append(Encoder(shared.value))
+        texts = batch.column(text_col)
+        ids, offsets = _encoded(encoders[0], texts)
+        lists = pa.ListArray.from_arrays(offsets, ids)
+        digests, same = [], []
+        for row, text in zip(lists, texts.to_pylist()):  # one row's ids as Python numbers at a time
+            back = shared.value.decode(row.values.to_numpy().tolist() if row.is_valid else None)
+            digests.append(None if back is None else hashlib.sha256(back.encode()).hexdigest())
+            same.append(back == text)
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in kept), lists, pc.list_value_length(lists), pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
+            names=[*kept, *made])
+
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias(text_col))
+    schema = rows.drop(text_col).schema.add(ids_col, T.ArrayType(T.IntegerType())).add("n_ids", "integer").add("decoded_sha256", "string").add("same", "boolean")
+    return rows.mapInArrow(by_pieces(both, text_col), schema)
+
+
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``rows`` with the text of each array of ids in place of the ids."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)

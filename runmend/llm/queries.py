@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from runmend.llm import (embedding_dedup, exact_dedup, language, licenses, mixing, ngram_join, pieces, quality, secret_scan,
                          shards)
@@ -39,7 +38,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode(docs, pieces.Vocabulary.read()).withColumn("n_ids", F.size("ids"))
+    return pieces.encode_and_decode(docs, pieces.Vocabulary.read())
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,20 @@ def test_pieces_round_trip(spark):
     assert sorted(map(str, back)) == sorted(str(type(back[0])(doc_id=d[0], text=d[1])) for d in cases.DOCS)
 
 
+def test_query_decodes_what_it_encoded(spark):
+    texts = {r.doc_id: r.text for r in common.table(spark, SF, "documents").collect()}
+    got = REGISTERED["op7_sentencepiece"](spark, SF).collect()
+    assert len(got) == len(texts) and all(r.same and r.n_ids == len(r.ids) for r in got)
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in got)
+    docs = cases.documents(spark, [*cases.DOCS, (50, "a mark \u2581 of its own", "en", "a", 1)])
+    rows = pieces.encode_and_decode(docs, pieces.Vocabulary.read()).collect()
+    assert sorted(str((r.doc_id, r.ids is None, r.decoded_sha256)) for r in rows if r.doc_id != 50) == sorted(
+        str((d[0], d[1] is None, d[1] if d[1] is None else hashlib.sha256(d[1].encode()).hexdigest())) for d in cases.DOCS)
+    assert all(r.same == (r.doc_id != 50) for r in rows)
+    stage = dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, SF)
+    assert {"n_ids", "decoded_sha256", "same"} <= set(stage.columns)
+
+
 def test_licenses(spark):
     name, text = licenses.TEMPLATES[4]
     docs = spark.createDataFrame([(1, f"intro\n{text.upper()}!!\nmore"), (2, "Released under the MIT licence today"), (3, None), (4, "one")],
