@@ -62,54 +62,74 @@ def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], np.bincount(doc[keep], minlength=len(texts))
 
 
-def suffix_automaton(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Transitions (state x symbol, -1 where there is none) of the automaton of all
-    substrings."""
-    most = 2 * len(symbols) + 1
-    to = np.full((most, n_symbols), -1, np.int32)
-    length, link = [0] * most, [-1] * most
-    count, last = 1, 0
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """For every state of the automaton of all substrings, its transitions by symbol."""
+    to: list[dict[int, int]] = [{}]
+    length, link = [0], [-1]
+    last = 0
     for symbol in symbols.tolist():
-        new, count = count, count + 1
-        length[new] = length[last] + 1
+        new = len(to)
+        to.append({})
+        length.append(length[last] + 1)
+        link.append(0)
         at = last
-        while at >= 0 and to[at, symbol] < 0:
-            to[at, symbol] = new
+        while at >= 0 and symbol not in to[at]:
+            to[at][symbol] = new
             at = link[at]
-        if at < 0:
-            link[new] = 0
-        else:
-            found = int(to[at, symbol])
+        if at >= 0:
+            found = to[at][symbol]
             if length[found] == length[at] + 1:
                 link[new] = found
             else:
-                copy, count = count, count + 1
-                length[copy] = length[at] + 1
-                to[copy] = to[found]
-                link[copy] = link[found]
+                copy = len(to)
+                to.append(dict(to[found]))
+                length.append(length[at] + 1)
+                link.append(link[found])
                 link[found] = link[new] = copy
-                while at >= 0 and to[at, symbol] == found:
-                    to[at, symbol] = copy
+                while at >= 0 and to[at].get(symbol) == found:
+                    to[at][symbol] = copy
                     at = link[at]
         last = new
-    return to[:count].copy()
+    return to
 
 
 @dataclass(frozen=True)
 class Languages:
-    """Automata of all languages in one table, each at its own offset."""
+    """Automata of all languages, each at its own offset. Every code point of a sample is a
+    symbol. Ways on by the most frequent ones are in a table; those by the others, which
+    all have the table's last column, are found by their key, state and symbol as one
+    number, among sorted keys."""
 
     names: list[str]
-    symbol_of: np.ndarray  # by folded code point, below 0x10000; others are the last symbol
+    alphabet: np.ndarray  # sorted folded code points of the samples
+    symbols: np.ndarray  # of each of these
     table: np.ndarray
+    keys: np.ndarray
+    ways: np.ndarray
     starts: np.ndarray
 
+    def symbols_of(self, codes: np.ndarray) -> np.ndarray:
+        """A code point that no sample has is the symbol after all others, without ways on."""
+        different, at = np.unique(codes, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.alphabet, different), len(self.alphabet) - 1)
+        return np.where(self.alphabet[place] == different, self.symbols[place], _unknown(self.alphabet))[at]
+
+    def _way(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """From each state (lane x language) by its lane's symbol."""
+        after = self.table.reshape(-1)[state * SYMBOLS + np.minimum(symbol, SYMBOLS - 1)[:, None]]
+        rare = np.flatnonzero((symbol >= SYMBOLS - 1) & (symbol < _unknown(self.alphabet)))
+        if len(rare) and len(self.keys):
+            key = state[rare] * _unknown(self.alphabet) + symbol[rare][:, None]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            after[rare] = np.where(self.keys[place] == key, self.ways[place], after[rare])
+        return after
+
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Numbers of phrases, text x language."""
         counts = np.zeros((len(sizes), len(self.names)), np.int64)
         if not len(self.names) or not len(codes):
             return counts
-        symbols = np.where(codes < len(self.symbol_of), self.symbol_of[np.minimum(codes, len(self.symbol_of) - 1)], SYMBOLS - 1)
+        symbols = self.symbols_of(codes)
         begin = np.cumsum(sizes) - sizes
         windows = -(-sizes // WINDOW)
         doc = np.repeat(np.arange(len(sizes)), windows)
@@ -125,18 +145,16 @@ class Languages:
 
     def _parse(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Lanes come longest first, so those still running are a prefix."""
-        width = self.table.shape[1]
-        flat = self.table.reshape(-1)
         state = np.repeat(self.starts[None, :], len(start), 0).astype(np.int64)
         count = np.ones(state.shape, np.int32)
         running = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
         for step in range(int(length[0])):
             n = int(running[step])
-            symbol = symbols[start[:n] + step].astype(np.int64)[:, None]
-            after = flat[state[:n] * width + symbol]
+            symbol = symbols[start[:n] + step]
+            after = self._way(state[:n], symbol)
             ended = after < 0
             count[:n] += ended
-            state[:n] = np.where(ended, flat[self.starts[None, :] * width + symbol], after)
+            state[:n] = np.where(ended, self._way(np.broadcast_to(self.starts, ended.shape), symbol), after)
         return count
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -157,29 +175,43 @@ class Languages:
         return names, np.clip(np.where(has_letter, score, 0.0), 0.0, 1.0)
 
 
+def _unknown(alphabet: np.ndarray) -> int:
+    """The symbol of code points that no sample has; it is never among the table's columns."""
+    return max(len(alphabet), SYMBOLS - 1) + 1
+
+
 def build(samples: dict[str, list[str]], letters_each: int = LETTERS, letters_all: int = ALL_LETTERS) -> Languages:
-    """``samples``: texts of each language. The most frequent code points get a symbol of
-    their own, the others share one. A symbol that a language's text lacks leads from the
+    """``samples``: texts of each language. The most frequent code points are columns of the
+    table, the others have keys. A code point that a language's text lacks leads from the
     start to a state without a way on, and so is a phrase of its own."""
     names = sorted(samples)
     each = min(letters_each, letters_all // max(len(names), 1))
     parts = [letters(samples[name])[0][:each] for name in names]
-    everything = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    codes, times = np.unique(everything[(everything > 0) & (everything < 0x10000)], return_counts=True)
-    frequent = codes[np.argsort(-times, kind="stable")][:SYMBOLS - 2]
-    symbol_of = np.full(0x10000, SYMBOLS - 1, np.uint8)
-    symbol_of[0] = 0
-    symbol_of[frequent] = np.arange(1, len(frequent) + 1)
-    tables, starts, offset = [], [], 0
+    everything = np.concatenate([np.zeros(1, np.uint32), *parts])
+    alphabet, times = np.unique(everything, return_counts=True)
+    symbols = np.zeros(len(alphabet), np.int64)
+    # The blank is 0, the rest follow by frequency; the table's last column has no symbol alone.
+    rank = np.argsort(-times[1:], kind="stable")
+    symbols[1:][rank] = np.arange(1, len(alphabet))
+    unknown = _unknown(alphabet)
+    tables, keys, ways, starts, offset = [], [], [], [], 0
     for part in parts:
-        own = suffix_automaton(np.where(part < 0x10000, symbol_of[np.minimum(part, 0xFFFF)], SYMBOLS - 1), SYMBOLS)
-        own = np.concatenate([own, np.full((1, SYMBOLS), -1, np.int32)])
-        own[0][own[0] < 0] = len(own) - 1
-        tables.append(np.where(own >= 0, own + offset, -1).astype(np.int32))
+        states = suffix_automaton(symbols[np.searchsorted(alphabet, part)])
+        flat = np.array([(at, symbol, to) for at, state in enumerate(states) for symbol, to in state.items()], np.int64).reshape(-1, 3)
+        own = np.full((len(states) + 1, SYMBOLS), -1, np.int32)
+        own[0] = len(states) + offset
+        common = flat[flat[:, 1] < SYMBOLS - 1]
+        own[common[:, 0], common[:, 1]] = common[:, 2] + offset
+        rare = flat[flat[:, 1] >= SYMBOLS - 1]
+        keys.append((rare[:, 0] + offset) * unknown + rare[:, 1])
+        ways.append((rare[:, 2] + offset).astype(np.int32))
+        tables.append(own)
         starts.append(offset)
         offset += len(own)
-    table = np.concatenate(tables) if tables else np.zeros((1, SYMBOLS), np.int32)
-    return Languages(names, symbol_of, table, np.array(starts, np.int64))
+    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    order = np.argsort(key)
+    return Languages(names, alphabet, symbols, np.concatenate(tables) if tables else np.zeros((1, SYMBOLS), np.int32),
+                     key[order], (np.concatenate(ways) if ways else np.zeros(0, np.int32))[order], np.array(starts, np.int64))
 
 
 def fit(docs: DataFrame, texts: int = TEXTS, letters_each: int = LETTERS) -> Languages:

@@ -239,6 +239,27 @@ def test_languages(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in rows) >= 0.97 * len(rows)
 
 
+def test_every_letter_of_a_sample_is_its_own():
+    """With more letters than the table has columns, and beyond U+FFFF, against plain cross-parsing."""
+    random = np.random.default_rng(3)
+    draw = lambda first, n, size: "".join(chr(first + i) for i in random.integers(0, n, size))
+    samples = {"han": draw(0x4E00, 900, 3000), "hangul": draw(0xAC00, 900, 3000), "deseret": draw(0x10428, 26, 900), "la": draw(97, 26, 900)}
+    model = language.build({k: [t] for k, t in samples.items()})
+    texts = [t[at:at + 100] for t in samples.values() for at in (7, 400)] + ["".join(x) for x in zip(samples["han"], samples["hangul"])][:1]
+    texts += [draw(0x4E00, 900, 60), draw(0xAC00, 900, 60), draw(0x20000, 500, 60), samples["han"][:9] + draw(0x3041, 80, 20) + samples["la"][:9]]
+
+    def plain(text, sample):
+        text, sample, count, at = f" {text}", f" {sample}", 0, 0
+        while at < len(text):
+            at += next((n for n in range(len(text) - at, 0, -1) if text[at:at + n] in sample), 1)
+            count += 1
+        return count
+
+    assert model.phrases(*language.letters(texts)).tolist() == [[plain(t, samples[name]) for name in model.names] for t in texts]
+    assert model.predict(texts)[0][:8] == [name for name in samples for _ in (0, 1)]
+    assert language.build({}).predict(["a", ""])[0] == ["und", "und"]
+
+
 def test_mixing(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     rows = mixing.mix(docs).collect()
