@@ -5,7 +5,7 @@ that text is a path from its start. A document is cut into phrases, each the lon
 occurs in the language's text; the language that needs the fewest phrases per letter wins.
 
 The sample is bounded: of each language the ``TEXTS`` rows with the lowest hash of their
-id, ``LETTERS`` characters in all at most (fewer when there are many languages, so that
+id, ``LETTERS`` characters in all at most, an equal share of each row (fewer when there are many languages, so that
 all automata together have a bounded table, which is broadcast). Documents are parsed
 whole. Windows of ``WINDOW`` letters are parsed side by side, as one step of an array
 program; a phrase ends with its window, for every language alike.
@@ -175,6 +175,17 @@ class Languages:
         return names, np.clip(np.where(has_letter, score, 0.0), 0.0, 1.0)
 
 
+def _evenly(codes: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """``most`` codes at most, the same number of the first ones of each text; what short
+    texts leave goes to the others."""
+    if len(codes) <= most:
+        return codes
+    order = np.sort(sizes)
+    shares = (most - (np.cumsum(order) - order)) // np.arange(len(order), 0, -1)
+    share = shares[np.argmax(order > shares)]
+    return codes[np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < share]
+
+
 def _unknown(alphabet: np.ndarray) -> int:
     """The symbol of code points that no sample has; it is never among the table's columns."""
     return max(len(alphabet), SYMBOLS - 1) + 1
@@ -186,7 +197,7 @@ def build(samples: dict[str, list[str]], letters_each: int = LETTERS, letters_al
     start to a state without a way on, and so is a phrase of its own."""
     names = sorted(samples)
     each = min(letters_each, letters_all // max(len(names), 1))
-    parts = [letters(samples[name])[0][:each] for name in names]
+    parts = [_evenly(*letters(samples[name]), each) for name in names]
     everything = np.concatenate([np.zeros(1, np.uint32), *parts])
     alphabet, times = np.unique(everything, return_counts=True)
     symbols = np.zeros(len(alphabet), np.int64)
@@ -215,12 +226,15 @@ def build(samples: dict[str, list[str]], letters_each: int = LETTERS, letters_al
 
 
 def fit(docs: DataFrame, texts: int = TEXTS, letters_each: int = LETTERS) -> Languages:
-    """Learns from rows with an id and a language that are not held out. The rows with the
+    """Learns from rows with an id and a language that are not held out, from a part of each
+    text that starts at a hashed place. The rows with the
     lowest hashes are picked in every task before the shuffle, so a language that has most
     rows does not meet in one task."""
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    part = 4 * letters_each // texts
+    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - part, F.lit(0)) + 1) + 1
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)) \
-        .select("doc_id", F.col("lang").cast("string").alias("lang"), F.substring("text", 1, 4 * letters_each // texts).alias("text")) \
+        .select("doc_id", F.col("lang").cast("string").alias("lang"), F.substring("text", start.cast("int"), F.lit(part)).alias("text")) \
         .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= texts).collect()
     samples: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.nth)):

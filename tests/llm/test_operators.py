@@ -260,6 +260,14 @@ def test_every_letter_of_a_sample_is_its_own():
     assert language.build({}).predict(["a", ""])[0] == ["und", "und"]
 
 
+def test_all_sampled_texts_are_learned_from(spark):
+    texts = [chr(97 + i) * (10 if i % 4 == 0 else 400) for i in range(12)]
+    model = language.build({"x": texts}, 1000)
+    assert set(map(chr, model.alphabet)) == set("\0abcdefghijkl") and len(language._evenly(*language.letters(texts), 1000)) in range(985, 1001)
+    rows = [(i, "header " * 90 + "body of words " * 400, "en") for i in range(60)]
+    assert set("bodyfws") <= set(map(chr, language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).alphabet))
+
+
 def test_mixing(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     rows = mixing.mix(docs).collect()
