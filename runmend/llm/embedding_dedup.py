@@ -101,8 +101,8 @@ def _in_cells(with_vectors: bool):
 class _Block:
     """The homes of one cell, or of two of its chunks; probes are not kept."""
 
-    def __init__(self, threshold: float, table: int, length: int):
-        self.threshold, self.table = threshold, table
+    def __init__(self, threshold: float, table: int, length: int, two: bool):
+        self.threshold, self.table, self.two = threshold, table, two
         self.units = np.zeros((0, length))
         self.rep, self.weight, self.chunk = (np.zeros(0, np.int64) for _ in range(3))
 
@@ -118,7 +118,7 @@ class _Block:
         a, b = np.nonzero(units @ self.units.T >= self.threshold)
         if not probes:
             kept = b < known + a
-            if (self.chunk != self.chunk[0]).any():  # chunks that meet have met themselves elsewhere
+            if self.two:  # chunks that meet have met themselves elsewhere
                 kept &= chunk[a] != self.chunk[b]
             a, b = a[kept], b[kept]
         if not len(a):
@@ -163,7 +163,7 @@ def _compared(threshold: float):
             for begin, end in zip(begins, [*begins[1:], len(keys)]):
                 *cell, probe = keys[begin]
                 if cell != key:
-                    key, block = cell, _Block(threshold, cell[0], cell[4])
+                    key, block = cell, _Block(threshold, cell[0], cell[4], cell[2] != cell[3])
                 if probe and not len(block.rep):
                     continue
                 for start in range(begin, end, 512):

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
@@ -130,6 +131,23 @@ def test_vectors(spark, block):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i, _ in odd)
 
 
+@pytest.mark.parametrize("high", [0, 1])
+def test_chunks_that_meet_count_no_links_of_their_own(high):
+    """Also where the rows at hand are all of one chunk, as those that end an Arrow batch."""
+    vector = np.random.default_rng(5).normal(size=32)
+
+    def batch(reps, chunk):
+        n = len(reps)
+        return pa.RecordBatch.from_pydict({
+            "at": [0] * n, "cell": [7] * n, "low": [0] * n, "high": [high] * n, "length": [32] * n, "probe": [False] * n,
+            "chunk": [chunk] * n, "rep": reps, "m": [1] * n, "embedding": [(vector + i * 1e-9).tolist() for i in reps]})
+
+    links = Counter()
+    for out in embedding_dedup._compared(0.95)(iter([batch([1, 2], 0), batch([3], high)])):
+        links.update(dict(zip(*(out.column(c).to_pylist() for c in ("rep", "links")))))
+    assert links == ({1: 1, 2: 1, 3: 2} if high else {1: 2, 2: 2, 3: 2})
+
+
 @pytest.mark.parametrize(("width", "percent", "block"), [(4, 85, ngram_join.BLOCK_SHINGLES), (4, 85, 300), (5, 80, 300)])
 def test_ngram_components(spark, width, percent, block):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents").select(*[c.split()[0] for c in cases.SCHEMA.split(", ")])
