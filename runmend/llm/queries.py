@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runmend.llm import (embedding_dedup, exact_dedup, language, licenses, mixing, ngram_join, pieces, quality, secret_scan,
-                         shards)
+from runmend.llm import (chat_format, embedding_dedup, exact_dedup, language, licenses, merkle, mixing, ngram_join, pieces, prefix_trie,
+                         quality, secret_scan, shards)
 from runmend.llm.common import table
 
 
@@ -54,9 +54,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_manifest(table(spark, sf_dir, "documents"))
+
+
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_secrets, op4_shards, op5_embedding_dedup, op6_ngram_join,
-                            op7_sentencepiece, op8_licenses, op9_language, op10_mixing)}
+                            op7_sentencepiece, op8_licenses, op9_language, op10_mixing, op11_chat_format, op12_prefix_trie,
+                            op13_merkle)}
 
 _EXACT_DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
@@ -82,4 +95,7 @@ ORACLE: dict[str, str] = {
     "op3_secrets": secret_scan.oracle_sql(),
     "op6_ngram_join": _NGRAM_JOIN_SQL,
     "op8_licenses": licenses.oracle_sql(),
+    "op11_chat_format": chat_format.oracle_sql(),
+    "op12_prefix_trie": prefix_trie.oracle_sql(),
+    "op13_merkle": merkle.oracle_sql(),
 }

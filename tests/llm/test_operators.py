@@ -28,7 +28,7 @@ def test_sql(spark, name):
 
 def test_all_are_registered():
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
 
 
 def labels(spark):
