@@ -30,6 +30,7 @@ TERMINAL_STATUSES = [RESOLVED, PERMANENT_NO_ACTION, UNKNOWN_FLAGGED, MAX_RETRIES
 # --- fixed values: run states ------------------------------------------------
 SUCCESS = "SUCCESS"
 FAILED = "FAILED"
+TERMINATED = "TERMINATED"
 ACTIVE_STATES = ["RUNNING", "PENDING"]
 
 # --- fixed values: limits ----------------------------------------------------
@@ -113,6 +114,12 @@ LEGAL_TRANSITIONS = [
     (RETRIED, UNKNOWN_FLAGGED),
 ]
 
+# --- status changes that a person's label makes, beyond the automatic ones --------
+CORRECTION_TRANSITIONS = [
+    (UNKNOWN_FLAGGED, RETRY_SCHEDULED),
+    (UNKNOWN_FLAGGED, PERMANENT_NO_ACTION),
+]
+
 # The fields of a model's answers, and the values they may have.
 CLASSIFICATION_FORM = '{"classification": "Transient|Permanent|Unknown", "reasoning": "one sentence explanation", "confidence": "High|Medium|Low"}'
 FIX_FORM = '{"root_cause": "<one sentence>", "fix_steps": ["step 1", "step 2", "step 3"], "prevention": "<one sentence>"}'

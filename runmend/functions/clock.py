@@ -24,6 +24,13 @@ def instant_like(as_of: datetime, df: DataFrame, column: str, back: timedelta =
     return instant(as_of - back, df.schema[column].dataType)
 
 
+def utc_clock(column: str | Column, data_type: T.DataType) -> Column:
+    """What a clock in UTC shows then, to be formatted or cut to a day. A timestamp without
+    zone is in UTC already."""
+    column = F.col(column) if isinstance(column, str) else column
+    return column if isinstance(data_type, T.TimestampNTZType) else F.to_utc_timestamp(column, F.current_timezone())
+
+
 def whole_millis(column: str | Column) -> Column:
     return F.date_trunc("MILLISECOND", column)
 

@@ -9,6 +9,7 @@ from runmend import fixed
 
 
 def notice_time(ts: Column) -> Column:
+    """``ts`` as text; it has to be a UTC clock's, as :func:`runmend.functions.clock.utc_clock` gives it."""
     return F.date_format(ts, fixed.NOTICE_TIME_FORMAT)
 
 

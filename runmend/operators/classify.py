@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from runmend.functions.labels import LABEL_COLUMNS, status_for, with_rule_label
 from runmend.functions.prompts import CLASSIFICATION_PROMPT, classification_prompt
 from runmend.functions.strict_json import parse_response
+from runmend.operators import joins
 from runmend.session import shared_dir
 from runmend.settings import Settings
 
@@ -38,8 +39,9 @@ def call_model(
     prompts: DataFrame, prompt: str, model: Model, settings: Settings,
     answer: str = "raw_response", keep_going: bool = False,
 ) -> DataFrame:
-    """Adds the raw answers, under the name given, and call_error. With ``keep_going`` a failing call is recorded
-    for the prompt it fails on, otherwise it fails the task."""
+    """Adds the raw answers, under the name given, and call_error. With ``keep_going`` a failing
+    call is recorded for the prompt it fails on, otherwise it fails the task. A call that
+    fails is repeated in halves, so the other half's texts are asked together, once more."""
     size = settings.model_batch
 
     def ask(texts: list[str]) -> tuple[list[str | None], list[str | None]]:
@@ -48,20 +50,17 @@ def call_model(
             raise ValueError(f"model gave {len(answers)} responses for {len(texts)} prompts")
         return answers, [None] * len(texts)
 
-    def ask_each(texts: list[str]) -> tuple[list[str | None], list[str | None]]:
+    def ask_in_halves(texts: list[str]) -> tuple[list[str | None], list[str | None]]:
         try:
             return ask(texts)
         except Exception as error:
             if len(texts) == 1:
                 return [None], [str(error) or type(error).__name__]
-        answers, errors = [], []
-        for text in texts:
-            one, failure = ask_each([text])
-            answers += one
-            errors += failure
-        return answers, errors
+        half = len(texts) // 2
+        (first, failed), (second, failed_too) = ask_in_halves(texts[:half]), ask_in_halves(texts[half:])
+        return first + second, failed + failed_too
 
-    call = ask_each if keep_going else ask
+    call = ask_in_halves if keep_going else ask
 
     def respond(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -93,13 +92,12 @@ def attach_by_text(
     found = found.withColumn("_key", F.xxhash64(text))
     on = ["_key", text]
     hot_text = F.col("n") > settings.hot_rows
-    sizes = found.agg(F.count("*").alias("texts"), F.count_if(hot_text).alias("hot")).first()
-    if sizes["texts"] <= settings.broadcast_rows:
+    if joins.is_small(found, settings):
         found = F.broadcast(found)
     else:
         count = F.ceil(F.max("n") / settings.hot_rows).cast("int")
         hot = found.where(hot_text).groupBy("_key").agg(count.alias("_pieces"))
-        if sizes["hot"] <= settings.broadcast_rows:
+        if joins.is_small(hot, settings):
             hot = F.broadcast(hot)
         pieces = F.coalesce("_pieces", F.lit(1))
         rows = rows.join(hot, "_key", "left").withColumn(
@@ -138,5 +136,9 @@ def model_classifier(
 
 
 def classify_dedup(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Labels computed once per distinct text and joined back."""
-    return attach_by_text(rows, classify_by_rules(distinct_texts(rows)), settings, "run_id")
+    """Labels computed once per distinct text and joined back. The rows are read once, and
+    so are the labels: their number is taken from what was made."""
+    shared_dir(rows.sparkSession)
+    rows = rows.checkpoint()
+    labels = classify_by_rules(distinct_texts(rows)).checkpoint()
+    return attach_by_text(rows, labels, settings, "run_id")

@@ -11,6 +11,7 @@ from runmend.functions.clock import instant_like
 from runmend.operators import joins
 from runmend.operators.runs import (
     dated_since, failed_runs, newest_per_job, scan_runs, within_lookback)
+from runmend.session import shared_dir
 from runmend.settings import Settings
 
 
@@ -63,7 +64,7 @@ def recent_failures(
     newest first, so a run inside the lookback has only runs inside the lookback ahead
     of it and keeps its rank. That lets the time test reach the scan.
     """
-    small = monitored is not None and joins.is_small(monitored, settings)
+    small = monitored is not None and joins.is_small(monitored, settings, "job_id")
     recent = scan_runs(within_lookback(runs, as_of, settings))
     if monitored is not None and small:
         recent = joins.keep_keys(recent, monitored, "job_id", small=True)
@@ -82,8 +83,11 @@ def detect_new_failures(
 ) -> DataFrame:
     """job_id, run_id, error_message and start_time of each failure to be tracked.
     ``known`` holds the run ids that are tracked already."""
+    shared_dir(runs.sparkSession)
     failed = recent_failures(runs, as_of, settings, monitored)
-    small = joins.is_small(failed, settings)
+    # Ranked once: the few rows left are counted, looked up and given out from this table.
+    failed = failed.checkpoint()
+    small = joins.is_small(failed, settings, "run_id", "task_run_id")
     since = instant_like(as_of, runs, "start_time", settings.lookback)
     found = untracked(failed, known, small)
     return with_error_text(found, run_outputs, settings, small, since).select(

@@ -4,26 +4,46 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runmend.settings import Settings
 
 
-def is_small(df: DataFrame, settings: Settings) -> bool:
-    """True when ``df`` has at most ``broadcast_rows`` rows. Only counts come back."""
-    return df.count() <= settings.broadcast_rows
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value; eight for all that has a fixed width."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return F.lit(8)
 
 
-def measure(df: DataFrame, column: str, settings: Settings) -> tuple[bool, datetime | None]:
-    """Whether ``df`` is small, and its earliest ``column``, in one job. The time comes
-    back as it is stored, or with its zone, whatever zone this process is in."""
+def _size(df: DataFrame, columns: tuple[str, ...]) -> list[Column]:
+    width = sum((_width(df.schema[c]) for c in columns or df.columns), F.lit(0))
+    return [F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")]
+
+
+def _fits(row: Row, settings: Settings) -> bool:
+    return row["n"] <= settings.broadcast_rows and row["bytes"] <= settings.broadcast_bytes
+
+
+def is_small(df: DataFrame, settings: Settings, *columns: str) -> bool:
+    """True when ``df``, or the columns of it that will be sent, is within the bounds of rows
+    and bytes. Only a count and a sum come back."""
+    return _fits(df.agg(*_size(df, columns)).first(), settings)
+
+
+def measure(df: DataFrame, column: str, settings: Settings, *keys: str) -> tuple[bool, datetime | None]:
+    """Whether ``keys`` of ``df`` are small, and its earliest ``column``, in one job. The time
+    comes back as it is stored, or with its zone, whatever zone this process is in."""
     earliest = F.min(column)
     zoned = isinstance(df.schema[column].dataType, T.TimestampType)
     row = df.agg(
-        F.count("*").alias("n"), (F.unix_micros(earliest) if zoned else earliest).alias("earliest")).first()
-    small, first = row["n"] <= settings.broadcast_rows, row["earliest"]
+        *_size(df, keys), (F.unix_micros(earliest) if zoned else earliest).alias("earliest")).first()
+    small, first = _fits(row, settings), row["earliest"]
     if zoned and first is not None:
         first = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=first)
     return small, first
@@ -40,13 +60,13 @@ def lookup(left: DataFrame, big: DataFrame, key: str, small: bool, row_id: str)
     """``left`` with the columns of the row of ``big`` that has the same ``key``.
 
     ``big`` has at most one row per key. An outer join cannot broadcast the side it
-    keeps, so when ``left`` is small the matching rows of ``big`` are picked first, at
-    its scan; ``big`` is shuffled only when both sides are large. Null keys match
-    nothing, and ``row_id`` spreads them over the partitions.
+    keeps, so when the keys of ``left`` are small the matching rows of ``big`` are picked
+    first, at its scan, by the keys alone. What is left of it may be long texts: it is
+    joined without a hint. Null keys match nothing, and ``row_id`` spreads them over the
+    partitions.
     """
     if small:
         big = keep_keys(big, left.where(F.col(key).isNotNull()), key, small=True)
-        return left.join(F.broadcast(big), key, "left")
     big = big.withColumnRenamed(key, "_key").withColumn("_kind", F.lit(0))
     return (
         left.join(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runmend.functions.clock import utc_clock
 from runmend.functions.messages import notice_body
 from runmend.functions.strict_json import fix_json
 from runmend.operators import joins
@@ -35,5 +36,6 @@ def notifications(rows: DataFrame, notified_at: Column) -> DataFrame:
 
 def notice_bodies(rows: DataFrame, detected_at: Column) -> DataFrame:
     """Adds ``body``, the text of the notice."""
+    detected_at = utc_clock(detected_at, rows.select(detected_at).schema[0].dataType)
     return rows.withColumn("body", notice_body(
         F.col("job_id"), F.col("owner"), detected_at, F.col("error_message"), F.col("fix")))

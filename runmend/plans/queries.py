@@ -298,7 +298,8 @@ def new_incident_state(spark, sf_dir):
 @query
 def current_state(spark, sf_dir):
     rows = state.current_state(sample.incident_log(spark, sf_dir))
-    return rows.withColumn("all_run_ids", _joined("all_run_ids")).drop("fix_suggestion")
+    return rows.withColumn("all_run_ids", _joined("all_run_ids")).drop(
+        "fix_suggestion", "requested_at", "run_started_at", "corrected_at")
 
 
 @query

@@ -14,6 +14,26 @@ RUNS = T.StructType([
     T.StructField("tasks", T.ArrayType(T.StructType([T.StructField("run_id", T.StringType())]))),
 ])
 
+# A row for each period of a run, as they are written; rows may repeat and come late.
+RUN_TIMELINE = T.StructType([
+    T.StructField("job_id", T.StringType(), False),
+    T.StructField("run_id", T.StringType(), False),
+    T.StructField("period_start_time", T.TimestampType(), False),
+    T.StructField("period_end_time", T.TimestampType()),
+    T.StructField("result_state", T.StringType()),
+    T.StructField("tasks", T.ArrayType(T.StructType([T.StructField("run_id", T.StringType())]))),
+])
+
+# The newest runs of each job, as a pass saw them at ``seen_at``.
+RECENT_RUNS = T.StructType([
+    T.StructField("job_id", T.StringType(), False),
+    T.StructField("run_id", T.StringType(), False),
+    T.StructField("start_time", T.TimestampType(), False),
+    T.StructField("life_cycle_state", T.StringType(), False),
+    T.StructField("result_state", T.StringType()),
+    T.StructField("seen_at", T.TimestampType(), False),
+])
+
 RUN_OUTPUTS = T.StructType([
     T.StructField("task_run_id", T.StringType(), False),
     T.StructField("error", T.StringType()),
@@ -52,6 +72,17 @@ INCIDENTS = T.StructType([
     T.StructField("version", T.IntegerType(), False),
 ])
 
+# What a store knows of an incident besides; tables without these columns do as well.
+INCIDENT_STATE = T.StructType([
+    *INCIDENTS,
+    # When the retry that is wanted now was first requested; null before, and once it started.
+    T.StructField("requested_at", T.TimestampType()),
+    # When the latest retry's run started, where its ack said so.
+    T.StructField("run_started_at", T.TimestampType()),
+    # The time of the newest label that a person gave.
+    T.StructField("corrected_at", T.TimestampType()),
+])
+
 # One row per change of an incident. ``seq`` numbers the events of an incident
 # 1, 2, 3, ... so the predecessor of an event is found by an equi join.
 INCIDENT_EVENTS = T.StructType([
@@ -73,6 +104,14 @@ INCIDENT_EVENTS = T.StructType([
     T.StructField("fix_suggestion", T.StringType()),
 ])
 
+# Events as a store keeps them; logs without these columns do as well.
+EVENT_LOG = T.StructType([
+    *INCIDENT_EVENTS,
+    # When a retry's run started, and when a person gave the label.
+    T.StructField("run_started_at", T.TimestampType()),
+    T.StructField("corrected_at", T.TimestampType()),
+])
+
 NOTIFICATIONS = T.StructType([
     T.StructField("job_id", T.StringType(), False),
     T.StructField("notified_user", T.StringType(), False),
@@ -94,6 +133,9 @@ RETRY_ACKS = T.StructType([
     T.StructField("new_run_id", T.StringType(), False),
 ])
 
+# With the start of the run, if the service tells it.
+DATED_ACKS = T.StructType([*RETRY_ACKS, T.StructField("started_at", T.TimestampType())])
+
 CORRECTIONS = T.StructType([
     T.StructField("tracking_id", T.StringType(), False),
     T.StructField("label", T.StringType(), False),

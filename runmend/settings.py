@@ -27,9 +27,11 @@ class Settings:
     # How far the clock that dates incidents may be ahead of the one that dates runs.
     clock_margin: timedelta = timedelta(days=1)
 
-    # A side of a join is broadcast only when its row count, measured or proven from
-    # a measured count, is at most this. Only keys and short columns are broadcast.
+    # A side of a join is broadcast only when its rows and the bytes of the columns that are
+    # sent, both measured in one job, are at most these. Texts are never hinted: they are
+    # joined after both sides are reduced, and AQE decides by the size they have then.
     broadcast_rows: int = 500_000
+    broadcast_bytes: int = 64 << 20
     # Pieces a join key is spread over when its dimension side cannot be broadcast.
     salt_buckets: int = 16
     # A text that occurs more often than this is spread when labels are joined back.

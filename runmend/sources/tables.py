@@ -10,7 +10,7 @@ from runmend.session import scratch_path
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | str, file_format: str = "parquet", **options: str,
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, file_format: str = "parquet", **options: str,
 ) -> DataFrame:
     """A table of files. Nothing is inferred, so no file is opened before the query."""
     return spark.read.format(file_format).schema(schema).options(**options).load(path)

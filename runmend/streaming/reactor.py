@@ -45,10 +45,10 @@ def _track_runs(
     """Tracks failed runs that are not tracked, each run id once."""
     settings = judge.settings
     rows = failed.drop("life_cycle_state", "result_state").dropDuplicates(["run_id"]).checkpoint()
-    small, first = joins.measure(rows, "start_time", settings)
+    small, first = joins.measure(rows, "start_time", settings, "run_id", "task_run_id")
     if first is None:
         return
-    found = untracked(rows, store.known_run_ids(without=batch), small)
+    found = untracked(rows, store.known_run_ids(without=batch, since=first), small)
     since = instant_like(first, rows, "start_time")
     texts = with_error_text(found, run_outputs, settings, small, since)
     track_failures(store, texts, jobs, batch, as_of, judge)
@@ -109,7 +109,7 @@ def take_events(
         reported = event_failures(batch_rows, now).groupBy("run_id").agg(first.alias("_first"))
         reported = reported.select("run_id", "_first.*")
         reported = reported.checkpoint()
-        small = joins.is_small(reported, judge.settings)
+        small = joins.is_small(reported, judge.settings, "run_id")
         found = untracked(reported, store.known_run_ids(without=batch), small)
         track_failures(store, found, jobs(), batch, as_of, judge)
         if full_scan is not None and not batch_rows.where(~is_valid_event()).isEmpty():

@@ -4,12 +4,12 @@ import pytest
 
 import __spark_entry__
 from runmend.plans import queries
+from runmend.plans.oracle import ORACLE
+from runmend.plans.queries import REGISTERED as QUERIES
 from runmend.settings import Settings
 from tests.oracle_compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES = __spark_entry__.queries()
-ORACLE = __spark_entry__.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +20,7 @@ def db():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(__spark_entry__.queries())
 
 
 def test_entry(spark):
@@ -49,12 +50,12 @@ COUNTS = {
     ("detect_classify_decide", "classification = 'Transient'"): 17,
     ("detect_classify_decide", "classification = 'Permanent'"): 26,
     ("detect_classify_decide", "classification = 'Unknown'"): 36,
-    ("plan_retries", "action = 'resolved'"): 32,
-    ("plan_retries", "action = 'retry'"): 6,
-    ("plan_retries", "action = 'skip_in_progress'"): 7,
-    ("check_outcomes", "status = 'resolved'"): 10,
-    ("check_outcomes", "status = 'max_retries_reached'"): 11,
-    ("check_outcomes", "status = 'permanent_no_action'"): 7,
+    ("plan_retries", "action = 'resolved'"): 432,
+    ("plan_retries", "action = 'retry'"): 10,
+    ("plan_retries", "action = 'skip_in_progress'"): 9,
+    ("check_outcomes", "status = 'resolved'"): 128,
+    ("check_outcomes", "status = 'max_retries_reached'"): 151,
+    ("check_outcomes", "status = 'permanent_no_action'"): 66,
 }
 
 

@@ -114,7 +114,9 @@ def test_due_by_recorded_time(spark):
     at = F.when(F.col("tracking_id") == "now", F.lit(NOW)).when(
         F.col("tracking_id") == "later", F.lit(NOW + MICRO))
     table = table.withColumn("next_retry_at", at)
-    assert ids(retry.due_rows_by_time(table, NOW), "tracking_id") == {"now"}
+    # A row without a recorded time goes by the delay, which has passed here.
+    assert ids(retry.due_rows_by_time(table, NOW), "tracking_id") == {"now", "never"}
+    assert ids(retry.due_rows_by_time(table.withColumn("last_updated_at", F.lit(NOW)), NOW), "tracking_id") == {"now"}
 
 
 def actions(plan):
