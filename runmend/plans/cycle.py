@@ -83,7 +83,7 @@ def _started(open_rows: DataFrame, acks: DataFrame) -> tuple[DataFrame, DataFram
     return rest.unionByName(ahead), started
 
 
-def _corrected(rows: DataFrame, corrections: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
+def _corrected(rows: DataFrame, corrections: DataFrame, as_of: datetime, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Rows after a person's labels, and the moves that the labels make."""
     moves = reports.correction_moves(rows, corrections).checkpoint()
     new = moves.select("tracking_id", "version", "status", "classification", "event", "corrected_at").alias("n")
@@ -98,7 +98,7 @@ def _corrected(rows: DataFrame, corrections: DataFrame, as_of: datetime) -> tupl
         "corrected_at": F.coalesce("n.corrected_at", "o.corrected_at"),
         # The delay starts anew.
         "last_updated_at": F.when(moved, now).otherwise(F.col("o.last_updated_at")),
-        "next_retry_at": F.when(moved, state.next_retry(F.col("n.status"), now, Settings())).otherwise(F.col("o.next_retry_at")),
+        "next_retry_at": F.when(moved, state.next_retry(F.col("n.status"), now, settings)).otherwise(F.col("o.next_retry_at")),
     }
     return old.select(*[told[c].alias(c) if c in told else F.col(f"o.{c}") for c in rows.columns]), moves
 
@@ -132,17 +132,21 @@ def _pass(
     notify = settings.notify_on == "all"
     attempt = store.begin(batch, as_of)
 
-    wanted = [*fixed.OPEN_STATUSES, *([fixed.UNKNOWN_FLAGGED] if inputs.corrections is not None else [])]
-    open_rows = store.state(without=batch, statuses=wanted).checkpoint()
-    moves = []
+    open_rows = store.state(without=batch, statuses=fixed.OPEN_STATUSES)
+    if inputs.corrections is not None:
+        # Closed incidents are read for labels alone; a person is expected to give few.
+        closed = store.state(without=batch, statuses=fixed.TERMINAL_STATUSES)
+        few = joins.is_small(inputs.corrections, settings, "tracking_id")
+        open_rows = open_rows.unionByName(joins.keep_keys(closed, inputs.corrections, "tracking_id", few))
+    open_rows = open_rows.checkpoint()
+    moves, told = [], None
     if inputs.retry_acks is not None:
         open_rows, started = _started(open_rows, inputs.retry_acks)
         moves.append(started.select(
             "tracking_id", "job_id", F.col("latest_run_id").alias("run_id"), "version", "status", "run_started_at"))
     if inputs.corrections is not None:
-        open_rows, corrected = _corrected(open_rows, inputs.corrections, as_of)
+        open_rows, told = _corrected(open_rows, inputs.corrections, as_of, settings)
         open_rows = open_rows.checkpoint()
-        moves.append(corrected)
 
     if detect:
         known = store.known_run_ids(without=batch, since=as_of - settings.lookback)
@@ -168,7 +172,11 @@ def _pass(
     together = moves[0]
     for more in moves[1:]:
         together = together.unionByName(more, allowMissingColumns=True)
-    attempt.write(EVENTS, judge.events(together, as_of, with_fixes=notify))
+    events = judge.events(together, as_of, with_fixes=notify)
+    if told is not None:
+        # Labelled already, by a person.
+        events = events.unionByName(state.events_of(told, as_of, settings))
+    attempt.write(EVENTS, events)
     attempt.write(REQUESTS, retry.retry_requests(plan, instant(as_of, T.TimestampType())))
     if notify:
         write_notices(attempt, inputs.jobs, settings)

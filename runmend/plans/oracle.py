@@ -58,7 +58,8 @@ ERROR_BY_DIGIT = "CASE k % 10 " + " ".join(
     f"WHEN {digit} THEN {text(error)}" for digit, (error, _) in sample.ERRORS.items()) + " END"
 EXPECTED = ", ".join(f"({text(error)}, {text(expected)})" for error, expected in sample.ERRORS.values())
 
-NEWEST = "ORDER BY start_time DESC, run_id DESC"
+NEWEST = "ORDER BY start_time DESC, TRY_CAST(run_id AS HUGEINT) DESC NULLS LAST, run_id DESC"
+SEEN = "TIMESTAMP '2024-01-25 00:00:00'"
 STATE = "job_id, run_id, start_time, life_cycle_state, result_state"
 
 CTES = {
@@ -410,9 +411,10 @@ FROM judged"""),
     "stream_failure_events": with_tables(
         "runs labelled", f"""SELECT job_id, run_id AS original_run_id,
   error_message, classification, {status('classification')} AS status,
-  k % 2 <> 0 AS undated, CASE WHEN k % 2 = 0 THEN start_time END AS first_failed_at,
+  raw_error IS NOT NULL AND k % 2 <> 0 AS undated,
+  CASE WHEN raw_error IS NULL OR k % 2 = 0 THEN start_time END AS first_failed_at,
   CASE WHEN classification = 'Permanent' THEN {_fix_part(0)} END AS root_cause
-FROM (SELECT *, {_rule('error_message')} AS rule FROM labelled WHERE raw_error IS NOT NULL)"""),
+FROM (SELECT *, {_rule('error_message')} AS rule FROM labelled)"""),
     "stream_failure_events_scanned": with_tables(
         "runs labelled", f"""SELECT job_id, run_id AS original_run_id,
   error_message, classification, {status('classification')} AS status,
@@ -421,3 +423,107 @@ FROM (SELECT *, {_rule('error_message')} AS rule FROM labelled WHERE raw_error I
   CASE WHEN classification = 'Permanent' THEN {_fix_part(0)} END AS root_cause
 FROM (SELECT *, {_rule('error_message')} AS rule FROM labelled)"""),
 }
+
+ORACLE |= {
+    "timeline_runs": with_tables("runs", """SELECT job_id, run_id, start_time,
+  CASE WHEN result_state IS NULL THEN 'RUNNING' ELSE 'TERMINATED' END AS life_cycle_state, result_state FROM runs"""),
+    "detect_from_timeline": ORACLE["detect_new_failures"],
+    "latest_runs_tied": with_tables("runs", f"""SELECT {STATE} FROM (
+  SELECT * REPLACE (date_trunc('day', start_time)::TIMESTAMP AS start_time),
+    row_number() OVER (PARTITION BY job_id ORDER BY date_trunc('day', start_time) DESC, event_id DESC) AS rn FROM runs) WHERE rn <= 5"""),
+    "recent_runs_merged": ORACLE["recent_runs_top10"],
+    "in_progress_merged": ORACLE["in_progress_jobs"],
+    "newer_success_merged": ORACLE["newer_success"],
+    "plan_retries_merged": ORACLE["plan_retries"],
+    "store_state": ORACLE["apply_updates"],
+    "store_known_ids": with_tables("runs incidents log", f"""SELECT run_id FROM log
+WHERE event IN ('detected', 'retried') AND ts >= {AS_OF} - INTERVAL 48 HOUR"""),
+    "run_retries": with_tables("runs incidents log", f"""
+, seen AS (SELECT * FROM runs WHERE start_time <= {SEEN}),
+past AS (
+  SELECT l.tracking_id, any_value(l.job_id) AS job_id,
+    arg_max(l.classification, l.seq) FILTER (WHERE l.classification IS NOT NULL) AS classification,
+    CAST(count(*) FILTER (WHERE l.event = 'retried') AS INTEGER) AS retry_count, arg_max(l.status, l.seq) AS status,
+    min(l.ts) AS first_failed_at, max(l.ts) AS last_updated_at,
+    arg_max(l.run_id, l.seq) FILTER (WHERE l.event IN ('detected', 'retried')) AS latest_run_id
+  FROM log l WHERE l.ts <= {SEEN} GROUP BY l.tracking_id),
+outcome AS (
+  SELECT p.*, CASE WHEN p.status = 'detected' THEN {label('i.error_message')}
+      WHEN p.status = 'retried' AND r.result_state NOT IN ('SUCCESS') AND p.retry_count < 3 THEN {label('r.error_message')} END AS new_label,
+    CASE WHEN p.status = 'detected' THEN {status(label('i.error_message'))}
+      WHEN p.status <> 'retried' THEN NULL WHEN r.result_state IS NULL THEN 'still_running'
+      WHEN r.result_state = 'SUCCESS' THEN 'resolved' WHEN p.retry_count >= 3 THEN 'max_retries_reached'
+      ELSE {status(label('r.error_message'))} END AS outcome
+  FROM past p JOIN incidents i ON i.tracking_id = p.tracking_id LEFT JOIN seen r ON r.run_id = p.latest_run_id),
+lease AS (SELECT DISTINCT job_id FROM outcome WHERE outcome = 'still_running'),
+ten AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id {NEWEST}) AS rn FROM seen) WHERE rn <= 10),
+act AS (SELECT job_id, max(start_time) FILTER (WHERE result_state = 'SUCCESS') AS last_success_at,
+  bool_or(life_cycle_state IN ('RUNNING', 'PENDING')) AS in_progress FROM ten GROUP BY job_id),
+judged AS (
+  SELECT o.*, CASE WHEN o.status <> 'retry_scheduled' THEN 'other'
+    WHEN o.last_updated_at + INTERVAL 24 HOUR > {SEEN} THEN 'not_due'
+    WHEN epoch_ms(a.last_success_at) > epoch_ms(o.first_failed_at) THEN 'resolved'
+    WHEN a.in_progress OR o.job_id IN (SELECT job_id FROM lease) THEN 'wait' ELSE 'free' END AS verdict
+  FROM outcome o LEFT JOIN act a ON a.job_id = o.job_id),
+done AS (
+  SELECT *, CASE WHEN verdict = 'resolved' THEN 'resolved' WHEN outcome IS NULL OR outcome = 'still_running' THEN status ELSE outcome END AS now,
+    verdict = 'free' AND row_number() OVER (PARTITION BY job_id, verdict ORDER BY first_failed_at, tracking_id) = 1 AS requested
+  FROM judged)
+SELECT tracking_id, coalesce(new_label, classification) AS classification, retry_count, now AS status,
+  CASE WHEN now <> 'retry_scheduled' THEN NULL WHEN status = 'retry_scheduled' THEN last_updated_at + INTERVAL 24 HOUR
+    ELSE {SEEN} + INTERVAL 24 HOUR END AS next_retry_at, requested FROM done"""),
+    "run_cycle_acked": with_tables("runs top10 activity", f"""
+, first_pass AS (
+  SELECT *, {label('error_message')} AS classification
+  FROM (SELECT *, row_number() OVER (PARTITION BY job_id {NEWEST}) AS rn FROM runs)
+  WHERE rn <= 5 AND start_time >= {AS_OF} - INTERVAL 24 HOUR AND result_state = 'FAILED'),
+judged AS (
+  SELECT f.*, event_id % 3 AS third, CASE WHEN event_id % 2 = 0 THEN {text(sample.ERRORS[3][0])} ELSE {text(sample.ERRORS[0][0])} END AS again,
+    CASE WHEN classification <> 'Transient' THEN 'other'
+    WHEN date_trunc('millisecond', a.last_success_at) > date_trunc('millisecond', f.start_time) THEN 'resolved'
+    WHEN a.in_progress THEN 'wait' ELSE 'free' END AS verdict
+  FROM first_pass f JOIN activity a ON a.job_id = f.job_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY job_id, verdict ORDER BY start_time, sha256(job_id || ':' || run_id)) AS place FROM judged),
+tried AS (SELECT *, verdict = 'free' AND place = 1 AS tried, max(CASE WHEN verdict = 'free' AND place = 1 THEN third END) OVER (PARTITION BY job_id) AS came FROM placed)
+SELECT job_id, run_id AS original_run_id, CASE WHEN tried THEN 'a' || run_id ELSE run_id END AS latest_run_id,
+  CASE WHEN tried AND third = 1 THEN {label('again')} ELSE classification END AS classification,
+  CASE WHEN tried THEN 1 ELSE 0 END AS retry_count,
+  CASE WHEN verdict = 'other' THEN {status('classification')} WHEN verdict = 'resolved' THEN 'resolved' WHEN verdict = 'wait' THEN 'retry_scheduled'
+    WHEN tried THEN CASE third WHEN 0 THEN 'resolved' WHEN 1 THEN {status(label('again'))} ELSE 'retried' END
+    WHEN came = 0 THEN 'resolved' ELSE 'retry_scheduled' END AS status,
+  tried OR (verdict = 'free' AND place = 2 AND came = 1) AS requested
+FROM tried"""),
+    "store_corrections": with_tables("runs incidents", f"""SELECT tracking_id, s.classification, s.status,
+  CASE WHEN s.status = 'retry_scheduled' THEN {AS_OF} + INTERVAL 15 MINUTE END AS next_retry_at,
+  CAST(CASE WHEN i.status = 'unknown_flagged' THEN 3 ELSE 2 END AS INTEGER) AS version, false AS illegal
+FROM (SELECT tracking_id, status FROM incidents WHERE classification <> 'Transient') i JOIN (
+  SELECT tracking_id AS id,
+  CASE WHEN status <> 'unknown_flagged' THEN classification WHEN CAST(original_run_id AS BIGINT) % 2 = 0 THEN 'Transient' ELSE 'Permanent' END AS classification,
+  CASE WHEN status <> 'unknown_flagged' THEN status WHEN CAST(original_run_id AS BIGINT) % 2 = 0 THEN 'retry_scheduled' ELSE 'permanent_no_action' END AS status
+  FROM incidents) s ON s.id = i.tracking_id"""),
+    "state_as_of": with_tables("runs incidents log", f"""SELECT tracking_id,
+  arg_max(classification, seq) FILTER (WHERE classification IS NOT NULL) AS classification,
+  CAST(count(*) FILTER (WHERE event = 'retried') AS INTEGER) AS retry_count, arg_max(status, seq) AS status,
+  max(ts) AS last_updated_at, max(seq) AS version FROM log WHERE ts <= {SEEN} GROUP BY tracking_id"""),
+}
+_CORRECTED = """
+, given AS (SELECT * FROM log UNION ALL SELECT tracking_id, 3, 'corrected', first_failed_at + INTERVAL 2 HOUR, job_id, NULL,
+  CASE WHEN CAST(original_run_id AS BIGINT) % 2 = 0 THEN 'Transient' ELSE 'Permanent' END,
+  CASE WHEN CAST(original_run_id AS BIGINT) % 2 = 0 THEN 'retry_scheduled' ELSE 'permanent_no_action' END
+  FROM incidents WHERE status = 'unknown_flagged')"""
+ORACLE |= {
+    "audit_report_log": with_tables("runs incidents log", f"""{_CORRECTED},
+folded AS (SELECT tracking_id, any_value(job_id) AS job_id, arg_max(classification, seq) FILTER (WHERE classification IS NOT NULL) AS classification,
+  arg_max(status, seq) AS status, count(*) FILTER (WHERE event = 'retried') AS retries, count(DISTINCT classification) > 1 AS changed,
+  bool_or(event = 'corrected') AS by_person, min(ts) AS first_failed_at, max(ts) AS last_updated_at
+  FROM given WHERE ts <= {SEEN} GROUP BY tracking_id)
+SELECT job_id, classification, count(*) AS incidents, CAST(sum(retries) AS BIGINT) AS retries,
+  count(*) FILTER (WHERE status IN ('detected', 'retry_scheduled', 'retried')) AS still_open,
+  count(*) FILTER (WHERE changed) AS reclassified, count(*) FILTER (WHERE by_person) AS corrected,
+  min(first_failed_at) AS first_failure, max(last_updated_at) AS last_update FROM folded GROUP BY job_id, classification"""),
+    "label_lineage": with_tables("runs incidents log", f"""{_CORRECTED}
+SELECT tracking_id, seq, event, classification AS label, lag(classification) OVER (PARTITION BY tracking_id ORDER BY seq) AS label_before
+FROM given WHERE classification IS NOT NULL"""),
+    "stream_timeline": with_tables("runs", """SELECT job_id, run_id, start_time, result_state, task_run_id
+FROM runs WHERE result_state IS NOT NULL"""),
+}

@@ -17,14 +17,15 @@ from runmend.functions.messages import notice_time
 from runmend.functions.prompts import classification_prompt, fix_prompt
 from runmend.operators import classify, detect, fixes, incidents as state, joins, notify
 from runmend.operators import outcomes, reports, retry, runs as run_ops
-from runmend.plans.cycle import Inputs, Judgement, run_cycle as run_one_cycle
+from runmend.plans.cycle import Inputs, Judgement, run_cycle as run_one_cycle, run_retries as run_only_retries
 from runmend.session import scratch_path
 from runmend.settings import Settings
 from runmend.sources import sample_tables as sample
 from runmend.sources.sample_tables import AS_OF
-from runmend.sources.store import TriageStore
+from runmend.sources.store import Batch, TriageStore
 from runmend.sources.tables import stream_table, written
 from runmend.streaming.reactor import react_to_runs, scan_runs_table, take_events
+from runmend.streaming.timeline import runs_from_timeline_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings()
@@ -541,13 +542,13 @@ def stream_runs(spark, sf_dir):
         "job_id", "original_run_id", "error_message", "classification", "status")
 
 
-def _taken_events(spark, sf_dir, with_scan):
+def _taken_events(spark, sf_dir):
     store = TriageStore(spark, scratch_path(spark, "intake"))
     events = sample.failure_events_from_runs(sample.runs_from_events(_event_stream(spark, sf_dir)))
     jobs = lambda: sample.jobs(spark, sf_dir)
     scan = scan_runs_table(
         lambda: sample.runs(spark, sf_dir), lambda: sample.run_outputs(spark, sf_dir), jobs, store,
-        lambda number: AS_OF) if with_scan else None
+        lambda number: AS_OF)
     _finish(take_events(
         events, jobs, store, lambda number: AS_OF, f"{store.root}/checkpoint", full_scan=scan))
     undated = F.col("first_failed_at") == instant(AS_OF, T.TimestampType())
@@ -560,12 +561,209 @@ def _taken_events(spark, sf_dir, with_scan):
 
 @query
 def stream_failure_events(spark, sf_dir):
-    """All failure events read as a stream; the notices it leaves and their incidents. Events
-    that lack a field are left to a full scan, which this query does not run."""
-    return _taken_events(spark, sf_dir, with_scan=False)
+    """All failure events read as a stream, and the incidents it leaves. An event that lacks a
+    field starts a scan of the run table, so every failed run is there."""
+    return _taken_events(spark, sf_dir)
 
 
 @query
 def stream_failure_events_scanned(spark, sf_dir):
-    """The same, where events that lack a field start a full scan: every failed run."""
-    return _taken_events(spark, sf_dir, with_scan=True)
+    """The same under the name it had first."""
+    return _taken_events(spark, sf_dir)
+
+
+# --- runs as they come to be ---------------------------------------------------------------
+
+
+@query
+def timeline_runs(spark, sf_dir):
+    """Runs out of a table of periods."""
+    runs = run_ops.runs_from_timeline(sample.timeline(spark, sf_dir))
+    return runs.select("job_id", "run_id", "start_time", "life_cycle_state", "result_state")
+
+
+@query
+def detect_from_timeline(spark, sf_dir):
+    return detect.detect_new_failures(
+        run_ops.runs_from_timeline(sample.timeline(spark, sf_dir)), sample.run_outputs(spark, sf_dir),
+        _tracked(spark, sf_dir), AS_OF, SETTINGS)
+
+
+@query
+def latest_runs_tied(spark, sf_dir):
+    """Equal start times go by the number of the run; repeated rows count once."""
+    runs = run_ops.newest_per_job(sample.tied_runs(spark, sf_dir), SETTINGS.runs_per_job)
+    return runs.select(*run_ops.STATE_COLUMNS)
+
+
+def _merged_runs(spark, sf_dir):
+    """The newest runs of each job after two looks at the run table. The second one reads the
+    days since the first one, and those of runs that were active then."""
+    first = written(run_ops.as_recent(sample.earlier_look(spark, sf_dir), sample.SEEN, SETTINGS), "look")
+    changed = run_ops.changed_runs(sample.dated_runs(spark, sf_dir), first, sample.SEEN)
+    second = written(run_ops.as_recent(changed, AS_OF, SETTINGS), "look")
+    return run_ops.newest_versions(first.unionByName(second), SETTINGS)
+
+
+@query
+def recent_runs_merged(spark, sf_dir):
+    return _merged_runs(spark, sf_dir).select(*run_ops.STATE_COLUMNS)
+
+
+@query
+def in_progress_merged(spark, sf_dir):
+    return run_ops.jobs_in_progress(_merged_runs(spark, sf_dir), SETTINGS)
+
+
+@query
+def newer_success_merged(spark, sf_dir):
+    rows = retry.newer_success(_incidents_table(spark, sf_dir), _merged_runs(spark, sf_dir), SETTINGS, ranked=True)
+    return rows.select("tracking_id", "job_id", "first_failed_at", "last_success_at")
+
+
+@query
+def plan_retries_merged(spark, sf_dir):
+    plan = retry.plan_retries(
+        _incidents_table(spark, sf_dir), _merged_runs(spark, sf_dir), AS_OF, SETTINGS, ranked=True)
+    return plan.select("tracking_id", "job_id", "action")
+
+
+# --- the store -------------------------------------------------------------------------------
+
+
+def _stored_log(spark, sf_dir, log, batches=4):
+    """A store that took the log in several batches, by time, two of them folded."""
+    store = TriageStore(spark, scratch_path(spark, "store"))
+    log = written(log, "log")
+    start, step = AS_OF - timedelta(days=32), timedelta(days=32) / batches
+    for number in range(batches):
+        of = (F.col("ts") >= sample.ntz(start + number * step)) & (F.col("ts") < sample.ntz(start + (number + 1) * step))
+        store.append_events(log.where(of), Batch("history", number))
+        if number == batches - 2:
+            store.compact()
+    return store
+
+
+def _plain_time(column):
+    return F.col(column).cast("timestamp_ntz").alias(column)
+
+
+@query
+def store_state(spark, sf_dir):
+    """The state out of a snapshot and later batches."""
+    return _stored_log(spark, sf_dir, sample.incident_log(spark, sf_dir)).state().select(
+        "tracking_id", "latest_run_id", "classification", "retry_count", "status", _plain_time("last_updated_at"),
+        _joined("all_run_ids"), "version")
+
+
+@query
+def store_known_ids(spark, sf_dir):
+    """The ids that runs of the lookback can have, out of the segments that reach it."""
+    store = _stored_log(spark, sf_dir, sample.incident_log(spark, sf_dir))
+    return store.known_run_ids(since=AS_OF - SETTINGS.lookback)
+
+
+@query
+def run_retries(spark, sf_dir):
+    """A pass over the own state only: retries that are due by their recorded time, others
+    that are not, and outcomes."""
+    settings = Settings(retry_delay=timedelta(hours=sample.HISTORY_DELAY_HOURS))
+    store = TriageStore(spark, scratch_path(spark, "executor"), settings)
+    store.append_events(sample.slow_log(spark, sf_dir), Batch("history", 1))
+    runs = sample.dated_runs(spark, sf_dir).where(F.col("start_time") <= sample.ntz(sample.SEEN))
+    inputs = Inputs(runs, sample.run_outputs(spark, sf_dir), sample.jobs(spark, sf_dir))
+    run_only_retries(store, inputs, sample.SEEN, 1, Judgement(settings))
+    requested = store.retry_requests().select("tracking_id", F.lit(True).alias("requested"))
+    return store.state().join(requested, "tracking_id", "left").select(
+        "tracking_id", "classification", "retry_count", "status", _plain_time("next_retry_at"),
+        F.coalesce("requested", F.lit(False)).alias("requested"))
+
+
+def _retry_runs(store, runs):
+    """What became of requested retries: every third one succeeded, every third one failed,
+    and the others do not show in the run table yet."""
+    first = store.state().select("tracking_id", "original_run_id")
+    number = F.col("original_run_id").cast("long")
+    started = sample.ntz(AS_OF + timedelta(minutes=17))
+    return store.retry_requests().select("tracking_id", "job_id").join(first, "tracking_id").select(
+        "tracking_id", "job_id", F.concat(F.lit("a"), "original_run_id").alias("run_id"), number.alias("number"),
+        started.alias("start_time"), F.lit(fixed.TERMINATED).alias("life_cycle_state"),
+        F.when(number % 3 == 0, fixed.SUCCESS).when(number % 3 == 1, fixed.FAILED).alias("result_state"),
+        F.array(F.struct(F.concat(F.lit("ta"), "original_run_id").alias("run_id"))).alias("tasks"))
+
+
+@query
+def run_cycle_acked(spark, sf_dir):
+    """Three passes: failures, requests, then acks of all requests, of which a third has no
+    run in the table. No job of these gets another run."""
+    store = TriageStore(spark, scratch_path(spark, "cycle"))
+    runs, outputs = sample.runs(spark, sf_dir), sample.run_outputs(spark, sf_dir)
+    inputs = Inputs(runs, outputs, sample.jobs(spark, sf_dir))
+    run_one_cycle(store, inputs, AS_OF, 1)
+    run_one_cycle(store, inputs, AS_OF + timedelta(minutes=16), 2)
+    retried = written(_retry_runs(store, runs), "retried")
+    shown = retried.where(F.col("result_state").isNotNull())
+    error = F.when(F.col("number") % 2 == 0, sample.ERRORS[3][0]).otherwise(sample.ERRORS[0][0])
+    inputs = Inputs(
+        runs.select(*schemas.RUNS.names).unionByName(shown.select(*schemas.RUNS.names)),
+        outputs.unionByName(shown.select(
+            F.get("tasks", F.lit(0))["run_id"].alias("task_run_id"), error.alias("error"), F.lit(None).cast("string").alias("error_trace"))),
+        inputs.jobs, retry_acks=retried.select("tracking_id", F.col("run_id").alias("new_run_id"), F.col("start_time").alias("started_at")))
+    run_one_cycle(store, inputs, AS_OF + timedelta(minutes=32), 3)
+    requested = store.retry_requests().select("tracking_id").distinct().withColumn("requested", F.lit(True))
+    return store.state().join(requested, "tracking_id", "left").select(
+        "job_id", "original_run_id", "latest_run_id", "classification", "retry_count", "status",
+        F.coalesce("requested", F.lit(False)).alias("requested"))
+
+
+@query
+def store_corrections(spark, sf_dir):
+    """A person's labels taken into the log: what waited for review goes on."""
+    store = TriageStore(spark, scratch_path(spark, "corrections"))
+    closed = sample.incident_log(spark, sf_dir).join(
+        sample.incidents(spark, sf_dir).where(F.col("classification") != fixed.TRANSIENT).select("tracking_id"), "tracking_id", "left_semi")
+    store.append_events(closed, Batch("history", 1))
+    inputs = Inputs(
+        sample.runs(spark, sf_dir), sample.run_outputs(spark, sf_dir), sample.jobs(spark, sf_dir),
+        corrections=sample.corrections(spark, sf_dir))
+    run_only_retries(store, inputs, AS_OF, 1)
+    illegal = reports.illegal_transitions(store.events()).select("tracking_id", F.lit(True).alias("illegal"))
+    return store.state().join(illegal, "tracking_id", "left").select(
+        "tracking_id", "classification", "status", _plain_time("next_retry_at"), "version",
+        F.coalesce("illegal", F.lit(False)).alias("illegal"))
+
+
+# --- reports over the log ----------------------------------------------------------------------
+
+
+@query
+def state_as_of(spark, sf_dir):
+    rows = state.state_as_of(sample.incident_log(spark, sf_dir), sample.SEEN)
+    return rows.select("tracking_id", "classification", "retry_count", "status", "last_updated_at", "version")
+
+
+@query
+def audit_report_log(spark, sf_dir):
+    return reports.audit_log(sample.corrected_log(spark, sf_dir), sample.SEEN)
+
+
+@query
+def label_lineage(spark, sf_dir):
+    return reports.label_lineage(sample.corrected_log(spark, sf_dir)).select(
+        "tracking_id", "seq", "event", "label", "label_before")
+
+
+@query
+def stream_timeline(spark, sf_dir):
+    """Ended runs out of a stream of periods."""
+    events = _event_stream(spark, sf_dir)
+    runs = sample.runs_from_events(events)
+    periods = F.expr("array(named_struct('a', 1, 'b', 2, 'r', result_state), named_struct('a', 0, 'b', 1, 'r', NULL))")
+    rows = runs.select("job_id", "run_id", "start_time", "tasks", F.explode(periods).alias("p")).selectExpr(
+        "job_id", "run_id", "CAST(start_time + make_dt_interval(0, 0, p.a) AS timestamp) AS period_start_time",
+        "CAST(start_time + make_dt_interval(0, 0, p.b) AS timestamp) AS period_end_time", "p.r AS result_state", "tasks")
+    path = scratch_path(spark, "timeline")
+    ended = runs_from_timeline_stream(rows, SETTINGS, wait=False)
+    _finish(ended.writeStream.format("parquet").option("path", f"{path}/runs").option("checkpointLocation", f"{path}/checkpoint"))
+    found = run_ops.scan_runs(spark.read.schema(schemas.RUNS).parquet(f"{path}/runs"))
+    return found.select("job_id", "run_id", _plain_time("start_time"), "result_state", "task_run_id")

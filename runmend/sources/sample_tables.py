@@ -244,3 +244,55 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rule_label(failed, "error_message", only_classification=True).select(
         "run_id", "job_id", "error_message", F.col("start_time").alias("called_at"),
         raw.alias("raw_response"))
+
+
+# --- the same tables as they come to be ---------------------------------------------
+
+SEEN = datetime(2024, 1, 25)
+HISTORY_DELAY_HOURS = 24
+
+
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two periods for each run, the later one first, and the first one twice."""
+    periods = F.expr(
+        "array(named_struct('a', 1, 'b', 2, 'result_state', result_state), named_struct('a', 0, 'b', 1, 'result_state', NULL), "
+        "named_struct('a', 0, 'b', 1, 'result_state', NULL))")
+    return runs(spark, sf_dir).select("job_id", "run_id", "start_time", "tasks", F.explode(periods).alias("p")).selectExpr(
+        "job_id", "run_id", "start_time + make_dt_interval(0, 0, p.a) AS period_start_time",
+        "start_time + make_dt_interval(0, 0, p.b) AS period_end_time", "p.result_state", "tasks")
+
+
+def tied_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that start at the same time as the others of their day; each is read twice."""
+    rows = runs(spark, sf_dir).withColumn("start_time", F.date_trunc("DAY", "start_time").cast("timestamp_ntz"))
+    return rows.unionByName(rows)
+
+
+def earlier_look(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run table as it was at ``SEEN``: every seventh run was active still."""
+    active = F.col("event_id") % 7 == 0
+    return runs(spark, sf_dir).where(F.col("start_time") < ntz(SEEN)).withColumn(
+        "life_cycle_state", F.when(active, "RUNNING").otherwise(F.col("life_cycle_state"))).withColumn(
+        "result_state", F.when(~active, F.col("result_state")))
+
+
+def dated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs(spark, sf_dir).withColumn("run_date", F.to_date("start_time"))
+
+
+def slow_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log up to ``SEEN``, of a triage that waits a day for a retry."""
+    due = F.when(F.col("next_retry_at").isNotNull(), F.col("ts") + F.expr(f"INTERVAL {HISTORY_DELAY_HOURS} HOURS"))
+    return incident_log(spark, sf_dir).where(F.col("ts") <= ntz(SEEN)).withColumn("next_retry_at", due)
+
+
+def corrected_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log with the later one of the two corrections of each incident in review."""
+    second = corrections(spark, sf_dir).groupBy("tracking_id").agg(
+        F.max_by("label", "ts").alias("classification"), F.max("ts").alias("ts"))
+    log = incident_log(spark, sf_dir)
+    of = log.where(F.col("event") == fixed.DETECTED).select("tracking_id", "job_id")
+    given = of.join(second, "tracking_id").selectExpr(
+        "tracking_id", "3 AS seq", "'corrected' AS event", "ts", "job_id", "classification",
+        "CASE classification WHEN 'Transient' THEN 'retry_scheduled' ELSE 'permanent_no_action' END AS status")
+    return log.unionByName(given, allowMissingColumns=True)
