@@ -40,10 +40,12 @@ class Batch:
 
 @dataclass(frozen=True)
 class Marker:
-    """What a batch committed: a folder, the tables in it, and the times of its events."""
+    """What a batch committed: a folder, the tables in it, and the times of its events.
+    ``order`` is the batch's place among all writers' batches; a repeat keeps it."""
 
     writer: str
     number: int
+    order: int
     path: str
     tables: list[str]
     as_of: str | None = None
@@ -71,6 +73,7 @@ class Manifest:
     segments of the logs. Readers name these paths; they do not look for files."""
 
     version: int = 0
+    order: int = 0
     snapshot: str | None = None
     folded: dict[str, int] = field(default_factory=dict)
     segments: dict[str, list[Segment]] = field(default_factory=dict)
@@ -114,7 +117,7 @@ class Attempt:
         """From here on this is the batch, whatever an earlier try of it committed."""
         first, last = self.store._times(self.read(EVENTS)) if EVENTS in self.tables else (None, None)
         self.store._commit(Marker(
-            self.batch.writer, self.batch.number, self.path, self.tables,
+            self.batch.writer, self.batch.number, self.store._place(self.batch), self.path, self.tables,
             None if self.as_of is None else self.as_of.isoformat(), first, last))
 
 
@@ -150,6 +153,11 @@ class TriageStore:
         attempt.write(EVENTS, events)
         attempt.commit()
 
+    def _place(self, batch: Batch) -> int:
+        manifest, markers = self._committed()
+        own = [m.order for m in markers if m.batch == batch]
+        return own[0] if own else 1 + max([manifest.order, *(m.order for m in markers)])
+
     def _commit(self, marker: Marker) -> None:
         tries = [name for name in self.files.names(f"commits/{marker.writer}") if name.startswith(f"{marker.number:019d}-")]
         again = 1 + max((int(name[20:24]) for name in tries), default=0)
@@ -254,12 +262,13 @@ class TriageStore:
     # --- compaction --------------------------------------------------------------
 
     def compact(self) -> None:
-        """Folds the log into a new snapshot, up to but without each writer's newest
-        batch, which may still be repeated. The manifest is written last, and only then are
-        the markers taken away that it stands for."""
+        """Folds the log into a new snapshot, without the newest batch, which may still be
+        repeated. All writers' batches are folded in the order they came in: one that moves
+        an incident on is never folded before the one it builds on. The manifest is written
+        last, and only then are the markers taken away that it stands for."""
         manifest, markers = self._committed()
-        newest = {writer: max(m.number for m in markers if m.writer == writer) for writer in {m.writer for m in markers}}
-        done = [m for m in markers if m.number < newest[m.writer]]
+        newest = max((m.order for m in markers), default=0)
+        done = [m for m in markers if m.order < newest]
         if not done:
             return
         target = f"snapshots/{manifest.version + 1:09d}-{uuid.uuid4().hex}"
@@ -273,7 +282,7 @@ class TriageStore:
         )
         folded = {**manifest.folded, **{m.writer: max(x.number for x in done if x.writer == m.writer) for m in done}}
         merged = Manifest(
-            manifest.version + 1, target, folded,
+            manifest.version + 1, max(m.order for m in done), target, folded,
             {table: self._merged(table, manifest, done, target) for table in LOGS},
             self._recent_folded(manifest, done, target))
         self.files.write(f"manifests/{merged.version:09d}.json", merged.to_text())
