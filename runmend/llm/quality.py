@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, directions: in
     """Learns from at most ``sample`` documents of each label.
 
     The ids come from ``labels`` and are a bounded list, so they are broadcast to the one
-    scan of the texts; its rows come back as counts, ``2 * sample`` x 4096 numbers.
+    scan of the texts; its rows come back as the counts that are not 0. The driver holds two
+    tables of ``2 * sample`` x 4096 numbers of four bytes at most.
     """
     agreed = labels.where("quality IN (0, 1)").where(~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")) \
@@ -133,20 +134,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, directions: in
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = pair_counts(batch.column("text")).astype(np.float32)
+        places = [np.flatnonzero(c).astype(np.uint16) for c in counts]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("quality"), pa.array([c.tobytes() for c in counts], pa.binary())],
-            names=["doc_id", "quality", "counts"])
+            [batch.column("doc_id"), batch.column("quality"), pa.array([p.tobytes() for p in places], pa.binary()),
+             pa.array([c[p].tobytes() for c, p in zip(counts, places)], pa.binary())],
+            names=["doc_id", "quality", "places", "counts"])
 
-    rows = picked.mapInArrow(by_pieces(counted, "text", *_SLICE), "doc_id long, quality int, counts binary").collect()
+    rows = picked.mapInArrow(by_pieces(counted, "text", *_SLICE), "doc_id long, quality int, places binary, counts binary").collect()
     rows = sorted({r.doc_id: r for r in rows}.values(), key=lambda r: r.doc_id)  # rows repeated learn once
     width = CLASSES**2
     if len(rows) < 2 or len({r.quality for r in rows}) < 2:
         label = np.array([r.quality for r in rows[:1]], np.float64)
         return Neighbours(np.ones(width), np.zeros((width, 1), np.float32), np.zeros((len(label), 1), np.float32), label, k)
-    counts = np.stack([np.frombuffer(r.counts, np.float32) for r in rows])
     quality = np.array([r.quality for r in rows], np.float64)
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1
-    matrix = _weighted(counts, idf)
+    matrix = np.zeros((len(rows), width), np.float32)
+    for i, r in enumerate(rows):
+        matrix[i, np.frombuffer(r.places, np.uint16)] = np.frombuffer(r.counts, np.float32)
+    idf = np.log((1 + len(rows)) / (1 + (matrix > 0).sum(0))) + 1
+    del rows
+    for start in range(0, len(matrix), 128):  # in place, a few rows at a time
+        matrix[start:start + 128] = _weighted(matrix[start:start + 128], idf)
     values, left = np.linalg.eigh(matrix @ matrix.T)
     top = np.argsort(-values)[:directions]
     top = top[values[top] > 1e-6]
