@@ -26,6 +26,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from runmend.llm.common import one_space, stored
 #: Bytes of text, ids and slots that a table may hold before it is split.
 MEMORY = 96 << 20
 FAN_OUT = 16
+#: Up to so many row numbers (8 bytes each) are broadcast.
+BROADCAST_ROWS = 2_000_000
 _ENTRY_BYTES = 200
 
 
@@ -208,12 +211,35 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ((F.col("at") == 0) & (F.col("local") == F.col("first_local"))).alias("kept"), "text_sha256")
 
 
+def _row_ids(rows: DataFrame) -> DataFrame:
+    """``rows``, read from files, with ``row``: the number of its file, then its place there.
+    The files are listed by the driver anyway, a short name each."""
+    names = [r[0] for r in rows.select(F.col("_metadata.file_path").alias("name")).distinct().orderBy("name").collect()]
+    numbers = rows.sparkSession.createDataFrame(list(enumerate(names)), "number long, name string")
+    placed = rows.withColumns({"_place": F.struct(F.col("_metadata.file_path").alias("name"), F.col("_metadata.row_index").alias("at"))})
+    joined = placed.join(F.broadcast(numbers), F.col("_place.name") == F.col("name"))
+    return joined.withColumn("_row", F.shiftleft("number", 40) + F.col("_place.at")).drop("number", "name", "_place")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns. Rows
-    that share id and text are told apart by nothing, so one of them stays."""
-    kept = exact_groups(docs, id_col, text_col, memory).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumns({
-        "__id": F.col(f"`{id_col}`").cast("long"), "__sha": F.sha2(one_space(F.col(f"`{text_col}`")), 256)})
-    same = [keyed[c].eqNullSafe(kept[c]) for c in ("__id", "__sha")]
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    """The rows of ``docs`` that are the first of their texts, with all their columns, whatever
+    these are called. Of rows that share id and text, one stays.
+
+    Rows are told apart by their file and place in it; what is no table of files is written
+    first. Groups are found among row numbers and texts; ids join them in a narrow table,
+    and the rows to drop are taken out of a second scan by their number."""
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+    try:
+        marked = _row_ids(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), "_metadata"))
+    except AnalysisException:
+        marked = _row_ids(stored(inner, "rows").select("_all", "_metadata"))
+    marked = marked.select("_all", "_row")
+    doc_id, text = F.col("_all")[id_col], F.col("_all")[text_col]
+    groups = exact_groups(marked.select(F.col("_row").alias("doc_id"), text.alias("text")), memory=memory)
+    many = stored(groups.where("group_size > 1").select(F.col("doc_id").alias("row"), "keep_id"), "copies")
+    ids = many.join(marked.select(F.col("_row").alias("row"), doc_id.cast("long").alias("id")), "row")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"]
+    stays = ids.groupBy("keep_id").agg(first.alias("row"))
+    drop = stored(many.select("row").join(stays.select("row"), "row", "left_anti"), "dropped")
+    drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
+    return marked.join(drop, F.col("_row") == F.col("row"), "left_anti").select("_all.*")
