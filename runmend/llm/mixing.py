@@ -38,6 +38,8 @@ SEED = 7
 TOP_UPS = 3
 #: Up to so many sources their one-row-a-source tables are broadcast.
 BROADCAST_SOURCES = 10_000
+#: Up to so many draws of blocks, and of single documents (some 60 bytes each), are broadcast.
+BROADCAST_DRAWS = 200_000
 
 
 def _random(*what: Column | str) -> Column:
@@ -105,9 +107,13 @@ def draw_blocks(plan: DataFrame, depth: int = DEPTH) -> DataFrame:
         F.max(F.when(F.col("copy") > F.col("copies"), F.col("shard"))).alias("last_shard"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int = DEPTH) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken``, ``copies``, ``shards`` and
-    ``source`` for every row."""
+def _block(doc_id: Column) -> Column:
+    return F.pmod(_random(doc_id), F.lit(BLOCKS)).cast("int")
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, depth: int) -> DataFrame:
+    """A narrow row for each document, with the draws of its block and whether it is drawn
+    once more by itself (``extra``), for the shard ``last``."""
     sizes = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
                                word_count(F.col(f"`{text_col}`").cast("string")).alias("size")), "sizes")
     sources = stored(targets(sizes), "targets")
@@ -115,7 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     beside = lambda df: F.broadcast(df) if few else df
     named = beside(sources.withColumnRenamed("source", "__source"))
     rows = sizes.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source") \
-        .withColumn("block", F.pmod(_random("doc_id"), F.lit(BLOCKS)).cast("int"))
+        .withColumn("block", _block(F.col("doc_id")))
     plan = stored(block_plan(rows, sources), "plan")
     drawn = plan.join(draw_blocks(plan, depth), ["number", "block"], "left")
     in_block = W.partitionBy("number", "block").orderBy(_random(F.lit("in"), "doc_id"), "doc_id", "size")
@@ -138,22 +144,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         held = stored(held.join(beside(nearest), "number", "left").withColumn(
             "extra", F.col("extra") | (free & F.coalesce(F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__size")), F.lit(False))))
             .drop("__id", "__size"), "mixed")
-    copies = F.col("copies") + F.col("extra").cast("int")
     last = F.coalesce("last_shard", F.pmod(_random(F.lit("shard"), "doc_id"), F.lit(2**depth)).cast("int"))
-    shards = F.coalesce("shards", F.array().cast("array<int>"))
-    return held.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"),
-                       copies.alias("copies"), F.when(F.col("extra"), F.concat(shards, F.array(last))).otherwise(shards).alias("shards"), "source")
+    return held.withColumn("last", last).withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int = DEPTH) -> DataFrame:
+    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken``, ``copies``, ``shards`` and
+    ``source`` for every row."""
+    copies = F.col("copies") + F.col("extra").cast("int")
+    return _drawn(docs, id_col, text_col, source_col, depth).select(
+        "doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"),
+        F.when(F.col("extra"), F.concat("shards", F.array("last"))).otherwise(F.col("shards")).alias("shards"), "source")
 
 
 def mixture(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The rows of ``docs`` as the mix takes them, repeated by their copies, dealt to their
-    shards, each shard in random order. One column more: ``__shard``."""
-    mixed = mix(docs, depth=depth).groupBy("doc_id", "source", "size").agg(F.max("shards").alias("__shards")) \
-        .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__shards")
-    keyed = docs.withColumn("__words", word_count(F.col("text").cast("string")))
-    met = keyed.join(mixed, keyed["doc_id"].eqNullSafe(mixed["__id"]) & keyed["source"].cast("string").eqNullSafe(mixed["__source"])
-                     & (F.col("__words") == F.col("__size")))
-    order = _random(F.lit("order"), "doc_id", "__shard", "__copy")
-    return met.select(*(keyed[c] for c in docs.columns), F.posexplode("__shards").alias("__copy", "__shard")) \
-        .withColumn("__order", order) \
-        .repartition("__shard", F.col("__order") % 64).sortWithinPartitions("__shard", "__order").drop("__copy", "__order")
+    shards, each shard in random order. All their columns, whatever these are called, and
+    ``__shard``, the last one.
+
+    Documents learn their copies from the draws of their block, of which there are sources x
+    ``BLOCKS`` at most, and from the list of single draws, one block and a few documents a
+    source. Both are broadcast up to a bound, so that whole rows move once, to their shard."""
+    drawn = stored(_drawn(docs, "doc_id", "text", "source", depth).select("doc_id", "source", "size", "block", "shards", "extra", "last"), "drawn")
+    blocks = stored(drawn.groupBy("source", "block").agg(F.first("shards").alias("shards")).where(F.size("shards") > 0)
+                    .select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.col("shards").alias("_shards")), "blocks")
+    single = stored(drawn.where("extra").groupBy("doc_id", "source", "size").agg(F.max("last").alias("_last"))
+                    .select(F.col("doc_id").alias("_one"), F.col("source").alias("_of"), F.col("size").alias("_size"), "_last"), "single")
+    beside = lambda df: F.broadcast(df) if df.count() <= BROADCAST_DRAWS else df
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+    doc_id, source = F.col("_all")["doc_id"], F.col("_all")["source"].cast("string")
+    keyed = rows.select("_all", doc_id.alias("_id"), source.alias("_from"), _block(doc_id).alias("_in"), word_count(F.col("_all")["text"].cast("string")).alias("_words"))
+    met = keyed.join(beside(blocks), F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_in") == F.col("_block")), "left") \
+        .join(beside(single), F.col("_id").eqNullSafe(F.col("_one")) & F.col("_from").eqNullSafe(F.col("_of")) & (F.col("_words") == F.col("_size")), "left")
+    none = F.array().cast("array<int>")
+    shards = F.concat(F.coalesce("_shards", none), F.when(F.col("_last").isNotNull(), F.array("_last")).otherwise(none))
+    return met.select("_all", "_id", F.posexplode(shards).alias("_copy", "_shard")) \
+        .withColumn("_order", _random(F.lit("order"), "_id", "_shard", "_copy")) \
+        .repartition("_shard", F.col("_order") % 64).sortWithinPartitions("_shard", "_order").select("_all.*", F.col("_shard").alias("__shard"))
