@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from runmend.llm import chat_format, merkle, prefix_trie
+from runmend.llm import chat_format, exact_dedup, merkle, mixing, prefix_trie
 from tests.llm import cases
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -262,3 +262,25 @@ def test_folding_hashes_from_the_slot_on():
         for state, _, right in block.steps(at):
             value = merkle.resume(state, value, right)
         assert value == block.top
+
+
+# --- stages of the pipeline keep columns, whatever they are called ---------------------
+
+
+def test_kept_and_mixed_rows_have_all_their_columns(spark, tmp_path):
+    names = ("__id", "__sha", "_row", "_all", "row", "name", "number", "__words", "__size", "_shard", "_id", "block")
+    docs = cases.documents(spark).drop("row")
+    for name in names:
+        docs = docs.selectExpr("*", f"'mine' AS `{name}`")
+    docs.write.parquet(str(tmp_path / "docs"))
+    for table in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        kept = exact_dedup.keep_first(table)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert {r[name] for r in rows for name in names} == {"mine"}
+        ids = sorted(str(r.doc_id) for r in rows)
+        assert ids == sorted(str(r.keep_id) for r in exact_dedup.exact_groups(docs).where("kept").collect())
+    mixed = mixing.mixture(docs)
+    assert mixed.columns == [*docs.columns, "__shard"] and {r[name] for r in mixed.collect() for name in names} == {"mine"}
+    want = {(r.doc_id, r.size, r.source): sorted(r.shards) for r in mixing.mix(docs).collect() if r.doc_id == 8}
+    assert [sorted(r["__shard"] for r in mixed.where("doc_id = 8").collect())] == list(want.values())
