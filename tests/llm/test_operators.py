@@ -15,6 +15,7 @@ from runmend.llm import (common, embedding_dedup, exact_dedup, language, license
                          shards)
 from runmend.llm.e8 import nearest_points
 from runmend.llm.queries import ORACLE, REGISTERED
+from runmend.llm.shingles import shingle_sets
 from tests.llm import cases
 from tests.oracle_compare import compare, connect
 
@@ -156,6 +157,29 @@ def test_ngram_components(spark, width, percent, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == cases.near_copies(rows, width, percent)
 
 
+@pytest.mark.parametrize("percent", [1, 50, 85, 100])
+def test_linked_sets_share_enough_of_their_prefixes(percent):
+    rng = np.random.default_rng(percent)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[i] for i in np.sort(rng.choice(60, rng.integers(1, 60), replace=False))) for _ in range(60)]
+    texts += [" ".join(t.split()[:max(1, len(t.split()) - int(rng.integers(0, 9)))]) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    more = ngram_join._more(percent)
+    frequent = np.unique(np.concatenate(list(shingle_sets(texts, 1))))[::3]
+    prefix, needed, size = {}, {}, {}
+    for made in ngram_join._prefixes(1, percent, frequent, more)([batch]):
+        for row in made.to_pylist():
+            prefix.setdefault(row["node"], set()).add(row["shingle"])
+            needed.setdefault(row["node"], set()).update([row["shingle"]] if row["needed"] else [])
+            size[row["node"]] = row["n"]
+    sets = dict(enumerate(map(set, map(str.split, texts))))
+    linked = [(a, b) for a in prefix for b in prefix if a != b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert linked or percent == 100
+    for a, b in linked:
+        least = 1 + -(-size[a] * percent // 100) * more // 100
+        assert len(prefix[a] & prefix[b]) >= least and needed[a] & needed[b]
+
+
 def test_ngram_components_of_awkward_rows(spark):
     got = ngram_join.ngram_components(cases.documents(spark)).collect()
     want = cases.near_copies([d[:2] for d in cases.DOCS], 4, 85)
