@@ -11,10 +11,12 @@ any, and loses no match. The best template of each unit counts.
 
 A notice may share its line or paragraph with other words. The words outside of matching
 units, over the whole text, are therefore compared window by window: from each shared
-bigram to each later one, within the template's size bounds. Such a window is the best of
-many, so it counts from the threshold on only where it ends on the template's last two
-words, else from ``SURE`` on; of windows that overlap the best counts. All of it is one
-projection over the scan: nothing is shuffled, grouped or collected.
+bigram to each later one, within the template's size bounds. A window that is cut where
+the words begin to differ counts as many bigrams as its template at least, as if the words
+that stand in place of the template's were in it; so a window and a line with the same
+words reach the same Dice, and one threshold holds for both. Of windows that overlap the
+best counts. All of it is one projection over the scan: nothing is shuffled, grouped or
+collected.
 
 A line without a letter or digit (comment marks, ``\\r``) ends a paragraph.
 
@@ -34,8 +36,6 @@ from pyspark.sql import functions as F
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.7
-#: Least Dice coefficient of a window that does not end as its template does.
-SURE = 0.9
 
 # The wording of public licence notices.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -129,8 +129,9 @@ def _clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _NO_WORD, " "))
 
 
-def _less(bigrams: Column, template: Column) -> Column:
-    return -(2.0 * F.size(F.array_intersect(bigrams, template["bigrams"])) / (F.size(bigrams) + F.size(template["bigrams"])))
+def _less(bigrams: Column, template: Column, size: Column | None = None) -> Column:
+    size = F.size(bigrams) if size is None else size
+    return -(2.0 * F.size(F.array_intersect(bigrams, template["bigrams"])) / (size + F.size(template["bigrams"])))
 
 
 def _window_matches(bigrams: Column, listed: Column, every: Column, threshold: float) -> Column:
@@ -142,13 +143,12 @@ def _window_matches(bigrams: Column, listed: Column, every: Column, threshold: f
         def from_start(hits: Column, start: Column) -> Column:
             stops = F.filter(hits, lambda stop: (stop - start).between(t["need"] - 1, t["span"] - 1))
             return F.transform(stops, lambda stop: F.struct(
-                _with(F.array_distinct(F.slice(bigrams, start + 1, stop - start + 1)), lambda w: _less(w, t)).alias("less"),
+                _with(F.array_distinct(F.slice(bigrams, start + 1, stop - start + 1)), lambda w: _less(w, t, F.greatest(F.size(w), F.size(t["bigrams"])))).alias("less"),
                 t["order"].alias("order"), t["license"].alias("license"), start.alias("start"), stop.alias("stop")))
 
         def found(hits: Column) -> Column:
             starts = F.filter(hits, lambda start, k: F.coalesce(F.get(hits, k + t["need"] - 1) - start < t["span"], F.lit(False)))
-            return F.filter(F.flatten(F.transform(starts, lambda start: from_start(hits, start))), lambda m: (m["less"] <= -threshold) & (
-                (m["less"] <= -max(SURE, threshold)) | (F.get(bigrams, m["stop"]) == t["last"])))
+            return F.filter(F.flatten(F.transform(starts, lambda start: from_start(hits, start))), lambda m: m["less"] <= -threshold)
 
         return _with(places, found)
 
@@ -172,7 +172,7 @@ def license_matches(lowered: Column, templates=TEMPLATES, threshold: float = THR
     listed = F.array(*(F.struct(
         F.lit(order).alias("order"), F.lit(name).alias("license"), F.array(*map(F.lit, bigrams)).alias("bigrams"), F.lit(low).alias("low"),
         F.lit(high).alias("high"), F.lit(max(1, math.ceil(threshold * (low + len(bigrams)) / 2 - 1e-9))).alias("need"),
-        F.lit(high + len(words) - 1 - len(bigrams)).alias("span"), F.lit(" ".join(words[-2:])).alias("last"))
+        F.lit(high + len(words) - 1 - len(bigrams)).alias("span"))
         for order, ((name, bigrams, low, high), words) in enumerate(zip(known, ends))))
     every = F.array(*map(F.lit, dict.fromkeys(b for _, bigrams, *_ in known for b in bigrams)))
     most = max(high for *_, high in known)
@@ -199,16 +199,17 @@ def license_matches(lowered: Column, templates=TEMPLATES, threshold: float = THR
         return F.struct(lines.alias("lines"), F.when(paragraph.contains("\n"), of_unit(paragraph)).otherwise(nothing).alias("found"))
 
     def outside(paragraph: Column) -> Column:
-        lines = F.transform(paragraph["lines"], lambda u: F.when(F.size(u["found"]) > 0, "|").otherwise(u["text"]))
-        return F.when(F.size(paragraph["found"]) > 0, "|").otherwise(F.array_join(lines, "\n"))
+        # Normalised words hold no "|", so it marks where a matching unit stood.
+        lines = F.transform(paragraph["lines"], lambda u: F.when(F.size(u["found"]) > 0, "|").otherwise(_clean(u["text"])))
+        return F.when(F.size(paragraph["found"]) > 0, "|").otherwise(F.array_join(lines, " "))
 
     def of_rest(rest: Column) -> Column:
-        words = F.split(F.trim(F.regexp_replace(rest, r"[^\p{L}\p{N}|]+", " ")), " ")
+        words = F.split(F.trim(F.regexp_replace(rest, " +", " ")), " ")
         return F.when(rest.rlike(anchors), _with(_pairs(words), lambda b: _window_matches(b, listed, every, threshold))).otherwise(nothing)
 
     def of_text(paragraphs: Column) -> Column:
         units = F.transform(paragraphs, lambda p: F.concat(F.flatten(p["lines"]["found"]), p["found"]))
-        return F.concat(F.flatten(units), _with(F.array_join(F.transform(paragraphs, outside), "\n"), of_rest))
+        return F.concat(F.flatten(units), _with(F.array_join(F.transform(paragraphs, outside), " "), of_rest))
 
     return F.when(lowered != "", _with(F.transform(F.split(lowered, _BLANK_LINE, -1), of_paragraph), of_text)).otherwise(nothing)
 
