@@ -5,6 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import regex
+
+from runmend.llm import licenses as licences
+from runmend.llm import secret_scan
+
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards brew potions near old stone bridges in quiet towns".split()
 LONG = " ".join(WORDS[(i * i) % len(WORDS)] + str(i % 97) for i in range(30_000))
 BASE = " ".join(WORDS * 3)
@@ -71,3 +76,67 @@ def mixed_targets(sizes: dict):
         if not over:
             return target
         full.update(over)
+
+
+def licenses(text):
+    """The best licence, its Dice, all names and the number of matches: every unit and every
+    window against every template."""
+    templates = [(order, name, set(b), len(re.findall(r"[^\W_]+", full.lower())) - 1 - len(b))
+                 for order, (name, full) in enumerate(sorted(licences.TEMPLATES)) for b in [licences.template_bigrams(full)]]
+    words_of = lambda unit: regex.sub(r"[^\p{L}\p{N}]+", " ", unit).split()
+    dice = lambda shared, size, other: 2 * shared / (size + other)
+
+    def best(unit):
+        words = words_of(unit)
+        bigrams = {" ".join(pair) for pair in zip(words, words[1:])}
+        scored = [(-dice(len(bigrams & b), len(bigrams), len(b)), order, name) for order, name, b, _ in templates if bigrams]
+        return sorted(s for s in scored if s[0] <= -licences.THRESHOLD)[:1]
+
+    found, rest = [], []
+    for paragraph in regex.split(r"\n[^\n\p{L}\p{N}]*\n", text.lower()):
+        lines = paragraph.split("\n")
+        whole = best(paragraph) if len(lines) > 1 else []
+        found += whole + [m for line in lines for m in best(line)]
+        rest += ["|"] if whole else [w for line in lines for w in (["|"] if best(line) else words_of(line))]
+    bigrams = [" ".join(pair) for pair in zip(rest, rest[1:])]
+    windows = []
+    for order, name, b, repeated in templates:
+        longest = licences.size_bounds(len(b), licences.THRESHOLD)[1] + repeated
+        for start in (i for i, bigram in enumerate(bigrams) if bigram in b):
+            for stop in range(start, min(start + longest, len(bigrams))):
+                window = set(bigrams[start:stop + 1])
+                if bigrams[stop] in b and dice(len(window & b), max(len(window), len(b)), len(b)) >= licences.THRESHOLD:
+                    windows.append((-dice(len(window & b), max(len(window), len(b)), len(b)), order, name, start, stop))
+    kept = []
+    for w in sorted(windows):
+        if all(w[4] + 1 < k[3] or k[4] + 1 < w[3] for k in kept):
+            kept.append(w)
+    found += [w[:3] for w in kept]
+    first = min(found, default=(None, None, None))
+    return first[2], -first[0] if found else None, ",".join(sorted({f[2] for f in found})), len(found)
+
+
+def secrets(texts, owners):
+    """Per text: its spans, and the numbers of live-looking and of copied values."""
+    live = lambda v: len(v) >= 16 and bool(re.search("[0-9]", v)) and bool(re.search("[A-Za-z]", v))
+    spans = []
+    for row, text in enumerate(texts):
+        base = [(m.start(), 0, m.end(), m[2]) for m in re.finditer(secret_scan.ASSIGN, text or "") if len(m[2]) >= 6]
+        base += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 20]
+        base += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 24]
+        covered = {at for start, _, end, _ in base for at in range(start, end)}
+        wide = [(m.start(), 3, m.end(), m[0]) for m in re.finditer("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text or "")]
+        spans.append(sorted(base + [w for w in wide if live(w[3]) and not covered.intersection(range(w[0], w[2]))]))
+    seen, repos = defaultdict(set), defaultdict(set)
+    for row, (listed, owner) in enumerate(zip(spans, owners)):
+        for *_, value in listed:
+            seen[value].add(owner if owner is not None else row)
+            repos[value].add(row)
+    copied = lambda v: len(seen[v]) >= secret_scan.COPIED_OWNERS or len(repos[v]) >= secret_scan.COPIED_REPOS
+    own = lambda v: live(v) and len(seen[v]) == 1 and not copied(v)
+    result = []
+    for listed in spans:
+        shown = [s for s in listed if s[1] < 3 or own(s[3])]
+        result.append((",".join(f"{secret_scan.KINDS[order]}:{start}:{end}" for start, order, end, _ in shown),
+                       sum(own(s[3]) for s in shown), sum(copied(s[3]) for s in shown)))
+    return result
