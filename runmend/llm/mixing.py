@@ -9,8 +9,8 @@ exceed the rest, documents of that next block in permuted order, then up to
 ``TOP_UPS`` single documents whose size is nearest to what still lacks.
 
 The numbers of block draws per source are the root of the tree. Every node cuts its draws
-in two halves of exact size by ranking them in a random order, so the numbers per source
-on either side are a draw from the multivariate hypergeometric distribution; after
+in two halves of exact size by a random order, so the numbers per source on either side
+are a draw from the multivariate hypergeometric distribution; after
 ``DEPTH`` levels the leaves are the output shards. Each shard then takes its number of a
 source's draws, disjoint ranges of that source's permuted draws, and is shuffled locally.
 
@@ -36,6 +36,8 @@ BLOCKS = 1024
 DEPTH = 5
 SEED = 7
 TOP_UPS = 3
+#: Ranges of random keys that the draws of a level of the tree are counted in.
+RANGES = 1 << 16
 #: Up to so many sources their one-row-a-source tables are broadcast.
 BROADCAST_SOURCES = 10_000
 #: Up to so many draws of blocks, and of single documents (some 60 bytes each), are broadcast.
@@ -81,14 +83,29 @@ def block_plan(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def split(quotas: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``quotas`` (``number``, ``n``) dealt to 2**depth shards: ``shard``, ``number``, ``n``."""
+    """``quotas`` (``number``, ``n``) dealt to 2**depth shards: ``shard``, ``number``, ``n``.
+
+    The draws of a node have random keys, and the half with the smaller ones goes left. Which
+    draws these are is told by counting them by range of the key: ranges below the middle go
+    left whole, those above it right, and only the one range that holds it is ranked. A level
+    has ``RANGES`` ranges over all its nodes, so no task sees more than that share of the
+    draws, and the counts that are broadcast do not grow with them."""
     level = quotas.withColumn("node", F.lit(0))
+    by_range = W.partitionBy("node").orderBy("range")
     for at in range(depth):
-        ranked = W.partitionBy("node").orderBy(_random(F.lit(at), "node", "number", "unit"), "number", "unit")
-        halves = level.select("node", "number", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("unit")) \
-            .select("node", "number", F.row_number().over(ranked).alias("rank"), F.count("*").over(W.partitionBy("node")).alias("all"))
-        right = (F.col("rank") * 2 > F.col("all") + (F.col("all") + F.col("node")) % 2).cast("int")
-        level = halves.groupBy((F.col("node") * 2 + right).alias("node"), "number").agg(F.count("*").alias("n"))
+        shift = 64 - max(RANGES.bit_length() - 1 - at, 1)
+        draws = level.select("node", "number", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("unit")) \
+            .withColumn("key", _random(F.lit(at), "node", "number", "unit")).withColumn("range", F.shiftright("key", shift))
+        counts = draws.groupBy("node", "range").agg(F.count("*").alias("here")) \
+            .withColumn("before", F.sum("here").over(by_range) - F.col("here")).withColumn("all", F.sum("here").over(W.partitionBy("node"))) \
+            .withColumn("left", F.floor((F.col("all") + (F.col("all") + F.col("node")) % 2) / 2)) \
+            .withColumn("lefts", F.greatest(F.least(F.col("left") - F.col("before"), F.col("here")), F.lit(0)))
+        met = draws.join(F.broadcast(counts.select("node", "range", "here", "lefts")), ["node", "range"])
+        cut = (F.col("lefts") > 0) & (F.col("lefts") < F.col("here"))
+        ranked = W.partitionBy("node", "range").orderBy("key", "number", "unit")
+        right = met.where(~cut).select("node", "number", (F.col("lefts") == 0).alias("right")).unionByName(
+            met.where(cut).withColumn("rank", F.row_number().over(ranked)).select("node", "number", (F.col("rank") > F.col("lefts")).alias("right")))
+        level = stored(right.groupBy((F.col("node") * 2 + F.col("right").cast("int")).alias("node"), "number").agg(F.count("*").alias("n")), "split")
     return level.withColumnRenamed("node", "shard")
 
 
