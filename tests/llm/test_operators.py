@@ -386,6 +386,21 @@ def test_mixing(spark):
     assert sum(r.n for r in shares if r.number == 1) == 100 and max(per.values()) - min(per.values()) <= 1
 
 
+def test_split_is_exact_for_any_ranges(spark, monkeypatch):
+    quotas = [(i, (i * 37) % 11 + 1) for i in range(30)] + [(30, 700)]
+    results = []
+    for ranges in (2, 64, mixing.RANGES):
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        rows = mixing.split(spark.createDataFrame(quotas, "number int, n long"), 3).collect()
+        results.append(sorted(map(tuple, (r.asDict().values() for r in rows))))
+        per_shard, per_number = Counter(), Counter()
+        for r in rows:
+            per_shard[r.shard] += r.n
+            per_number[r.number] += r.n
+        assert dict(quotas) == per_number and max(per_shard.values()) - min(per_shard.values()) <= 1 and len(per_shard) == 8
+    assert results[0] == results[1] == results[2]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 150)]
     for bound in (common.BROADCAST_EDGES, 0):
