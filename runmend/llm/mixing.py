@@ -37,7 +37,7 @@ DEPTH = 5
 SEED = 7
 TOP_UPS = 3
 #: Ranges of random keys that the draws of a level of the tree are counted in.
-RANGES = 1 << 16
+RANGES = 1 << 12
 #: Up to so many sources their one-row-a-source tables are broadcast.
 BROADCAST_SOURCES = 10_000
 #: Up to so many draws of blocks, and of single documents (some 60 bytes each), are broadcast.
