@@ -46,7 +46,6 @@ UNPARSED_REASONING = "AI response could not be parsed"
 UNKNOWN_JOB = "unknown"
 NO_ROOT_CAUSE = "No root cause provided"
 REVIEW_ERROR = "Review error message manually"
-REVIEW_ERROR_AND_LOGS = "Review the error message and job logs manually"
 FIX_FAILED = "Fix suggestion generation failed"
 NOT_AVAILABLE = "N/A"
 
@@ -122,4 +121,7 @@ CORRECTION_TRANSITIONS = [
 
 # The fields of a model's answers, and the values they may have.
 CLASSIFICATION_FORM = '{"classification": "Transient|Permanent|Unknown", "reasoning": "one sentence explanation", "confidence": "High|Medium|Low"}'
-FIX_FORM = '{"root_cause": "<one sentence>", "fix_steps": ["step 1", "step 2", "step 3"], "prevention": "<one sentence>"}'
+
+# --- not fixed: this library's own words; the names of the fields alone are given -------
+FIX_FORM = '{"root_cause": "<what is wrong>", "fix_steps": ["<first change>", "<next change>"], "prevention": "<what keeps it from coming back>"}'
+REVIEW_ERROR_AND_LOGS = "Review the error message and job logs manually"
