@@ -35,49 +35,66 @@ _ENDED = T.StructType([
     T.StructField("task_run_id", T.StringType())])
 
 
-class _Runs(StatefulProcessor):
+#: Keys that runs are dealt to where each of them need not be waited for.
+BUCKETS = 4096
+_PERIOD = ("period_start_time", "period_end_time", "result_state", "task_run_id")
+# Of a run: start, time of its result, result, task, and whether it was given out.
+_UNSEEN = (None, None, None, None, False)
+
+
+def _millis(span: timedelta) -> int:
+    return int(span.total_seconds() * 1000)
+
+
+def _with_period(run: tuple, begin: object, end: object, found: object, of_task: object) -> tuple[tuple, int]:
+    """A run with one more period, and that period's time."""
+    start, result_at, result, task, sent = run
+    begin, end = _whole(begin), _whole(end)
+    start = begin if start is None else min(start, begin)
+    at = begin if end is None else end
+    task = of_task if task is None and isinstance(of_task, str) else task
+    if isinstance(found, str) and (result_at is None or at > result_at):
+        result_at, result = at, found
+    return (start, result_at, result, task, sent), at
+
+
+def _ended(runs: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(runs, columns=_ENDED.names)
+
+
+class _WaitingRuns(StatefulProcessor):
     """The newest state of a run: its first period's start, and the result of the latest
-    period that has one. It is given out once, and forgotten some time after its end."""
+    period that has one. It is given out once, when the watermark passes its end, and
+    forgotten some time after that."""
 
-    def __init__(self, wait: bool, keep: timedelta):
-        self.wait, self.keep = wait, int(keep.total_seconds() * 1000)
+    def __init__(self, keep: timedelta):
+        self.keep = _millis(keep)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.run = handle.getValueState("run", "start long, result_at long, result string, task string, sent boolean")
 
-    def _ended(self, key: tuple, start: int, result: str, task: str | None) -> pd.DataFrame:
-        return pd.DataFrame({"job_id": [key[0]], "run_id": [key[1]], "start_time": [start],
-                             "result_state": [result], "task_run_id": [task]})
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        start, result_at, result, task, sent = self.run.get() if self.run.exists() else (None, None, None, None, False)
-        last = 0
+        run, last = (self.run.get() if self.run.exists() else _UNSEEN), 0
         for frame in rows:
-            for begin, end, found, of_task in zip(frame["period_start_time"], frame["period_end_time"], frame["result_state"], frame["task_run_id"]):
-                begin, end = _whole(begin), _whole(end)
-                start = begin if start is None else min(start, begin)
-                at = begin if end is None else end
+            for begin, end, found, of_task in zip(*(frame[c] for c in _PERIOD)):
+                run, at = _with_period(run, begin, end, found, of_task)
                 last = max(last, at)
-                task = of_task if task is None and isinstance(of_task, str) else task
-                if isinstance(found, str) and (result_at is None or at > result_at):
-                    result_at, result = at, found
-        send = result is not None and not sent and not self.wait
-        self.run.update((start, result_at, result, task, sent or send))
+        start, result_at, result, task, sent = run
+        self.run.update(run)
         # A run that waits comes with the watermark; else the timer only forgets it.
-        waiting = self.wait and result is not None and not sent
+        waiting = result is not None and not sent
         self.handle.registerTimer((result_at if waiting else last) // 1000 + (0 if waiting else self.keep))
-        if send:
-            yield self._ended(key, start, result, task)
+        return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         if not self.run.exists():
             return
         start, result_at, result, task, sent = self.run.get()
-        if self.wait and result is not None and not sent:
+        if result is not None and not sent:
             self.run.update((start, result_at, result, task, True))
             self.handle.registerTimer(result_at // 1000 + self.keep)
-            yield self._ended(key, start, result, task)
+            yield _ended([(*key, start, result, task)])
         elif timerValues.getCurrentWatermarkInMs() >= max(result_at or 0, start) // 1000 + self.keep:
             self.run.clear()
 
@@ -85,6 +102,64 @@ class _Runs(StatefulProcessor):
         pass
 
 
+class _Runs(StatefulProcessor):
+    """The same for many runs at once, those whose ids hash alike, which spares most of the
+    calls that a key of its own costs each run. A run is given out as soon as its result is
+    read. One timer looks after the runs of a key, at a time that is rounded up by a share of
+    ``keep``, so that they are not gone through whenever the watermark moves."""
+
+    def __init__(self, keep: timedelta):
+        self.keep = _millis(keep)
+        self.step = max(self.keep // 24, 1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getMapState(
+            "runs", "job_id string, run_id string",
+            "start long, result_at long, result string, task string, sent boolean, forget long")
+
+    def _look_at(self, forget: int) -> None:
+        self.handle.registerTimer(-(-forget // self.step) * self.step)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new = not self.runs.exists()
+        seen: dict[tuple, tuple] = {}
+        for frame in rows:
+            for job_id, run_id, *period in zip(*(frame[c] for c in ("job_id", "run_id", *_PERIOD))):
+                of = (job_id, run_id)
+                if of not in seen:
+                    kept = None if new else self.runs.getValue(of)
+                    seen[of] = (_UNSEEN, 0) if kept is None else (tuple(kept[:5]), kept[5])
+                run, forget = seen[of]
+                run, at = _with_period(run, *period)
+                seen[of] = run, max(forget, at // 1000 + self.keep)
+        given = []
+        for of, ((start, result_at, result, task, sent), forget) in seen.items():
+            if result is not None and not sent:
+                given.append((*of, start, result, task))
+            self.runs.updateValue(of, (start, result_at, result, task, result is not None, forget))
+        if seen:
+            self._look_at(min(forget for _, forget in seen.values()))
+        if given:
+            yield _ended(given)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        runs = [(of, value[5]) for of, value in self.runs.iterator()] if self.runs.exists() else []
+        stay = [forget for _, forget in runs if forget > now]
+        if stay:
+            for of, forget in runs:
+                if forget <= now:
+                    self.runs.removeKey(of)
+            self._look_at(min(stay))
+        elif runs:
+            self.runs.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def runs_from_timeline_stream(
     timeline: DataFrame, settings: Settings = Settings(), lateness: str = "10 minutes", wait: bool = True,
 ) -> DataFrame:
@@ -92,14 +167,18 @@ def runs_from_timeline_stream(
     often its rows come. With ``wait`` a run is given out when the watermark, ``lateness``
     behind, passes its end, so rows that come later than others, but not later than that,
     change nothing; without, as soon as its result is read, dated by the periods seen until
-    then. Its state goes a lookback after its last period."""
+    then. Its state goes a lookback after its last period, without ``wait`` up to a 24th of
+    that later."""
     use_rocksdb(timeline)
     rows = timeline.select(
         "job_id", "run_id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("period_start_time", "period_end_time")], "result_state",
         F.get("tasks", F.lit(0))["run_id"].alias("task_run_id"),
         F.coalesce("period_end_time", "period_start_time").cast("timestamp").alias("at"))
-    ended = rows.withWatermark("at", lateness).groupBy("job_id", "run_id").transformWithStateInPandas(
-        _Runs(wait, settings.lookback), outputStructType=_ENDED, outputMode="Append", timeMode="EventTime")
+    rows = rows.withWatermark("at", lateness)
+    bucket = F.pmod(F.xxhash64("job_id", "run_id"), F.lit(BUCKETS)).cast("int")
+    grouped = rows.groupBy("job_id", "run_id") if wait else rows.withColumn("bucket", bucket).groupBy("bucket")
+    ended = grouped.transformWithStateInPandas(
+        (_WaitingRuns if wait else _Runs)(settings.lookback), outputStructType=_ENDED, outputMode="Append", timeMode="EventTime")
     tasks = F.when(F.col("task_run_id").isNotNull(), F.array(F.struct(F.col("task_run_id").alias("run_id"))))
     return schemas.conform(ended.select(
         "job_id", "run_id", F.timestamp_micros("start_time").alias("start_time"), F.lit(fixed.TERMINATED).alias("life_cycle_state"), "result_state",

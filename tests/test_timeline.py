@@ -3,9 +3,13 @@
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
+from pyspark.sql.streaming.stateful_processor import TimerValues
+
 from runmend import schemas
 from runmend.operators import runs as run_ops
 from runmend.sources.tables import stream_table
+from runmend.streaming import timeline
 from runmend.streaming.timeline import due_retries, runs_from_timeline_stream
 
 NOW = datetime(2024, 5, 2, 12)
@@ -107,3 +111,68 @@ def test_timers(spark, tmp_path):
     finally:
         query.stop()
     assert sorted((r.tracking_id, r.next_retry_at) for r in found) == [("due", past), ("later", past), ("noted", past)]
+
+
+class CountedState:
+    """A map state and a handle that count what is asked of them."""
+
+    def __init__(self):
+        self.kept, self.calls, self.timers = {}, 0, []
+
+    def getMapState(self, *schema):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def exists(self):
+        return self._counted(bool(self.kept))
+
+    def getValue(self, key):
+        return self._counted(self.kept.get(key))
+
+    def updateValue(self, key, value):
+        self._counted(self.kept.__setitem__(key, value))
+
+    def removeKey(self, key):
+        self._counted(self.kept.pop(key))
+
+    def clear(self):
+        self._counted(self.kept.clear())
+
+    def iterator(self):
+        return iter(self._counted(list(self.kept.items())))
+
+    def _counted(self, value):
+        self.calls += 1
+        return value
+
+
+def test_many_runs_share_a_key_of_the_state():
+    hour, minute, runs = 3_600_000_000, 60_000_000, 1000
+    state = CountedState()
+    processor = timeline._Runs(timedelta(hours=24))
+    processor.init(state)
+
+    def take(*rows):
+        frame = pd.DataFrame(rows, columns=["job_id", "run_id", "period_start_time", "period_end_time", "result_state", "task_run_id"])
+        parts = processor.handleInputRows((0,), iter([frame[::2], frame[1::2]]), None)
+        return sorted(row for part in parts for row in part.itertuples(index=False, name=None))
+
+    def expire(hours):
+        assert list(processor.handleExpiredTimer((0,), TimerValues(-1, hours * 3_600_000), None)) == []
+
+    first = [("a", str(i), hour, hour + minute, None, None) for i in range(runs)]
+    last = [("a", str(i), hour + minute, hour + 2 * minute, "FAILED", "t") for i in range(runs)]
+    assert take(*last, *first) == sorted(("a", str(i), hour, "FAILED", "t") for i in range(runs))
+    # One call a run, a timer for all of them.
+    assert state.calls <= runs + 5 and len(state.timers) == 1
+    assert take(*first, *last) == []
+    assert take(("b", "0", 30 * hour, None, None, None)) == []
+    expire(25)
+    assert len(state.kept) == runs + 1
+    expire(26)
+    assert list(state.kept) == [("b", "0")] and state.timers[-1] == 54 * 3_600_000
+    assert take(("b", "0", 31 * hour, 31 * hour, "SUCCESS", "t")) == [("b", "0", 30 * hour, "SUCCESS", "t")]
+    expire(56)
+    assert not state.kept
